@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from carrel.llm import chat, mixing, warc
+from carrel.llm import chat, decontaminate, mixing, warc
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op6_warc": warc.op6_warc,
     "op7_mixing": mixing.op7_mixing,
     "op10_chat": chat.op10_chat,
 }
-SQL = {"op6_warc": warc.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op10_chat": chat.OP10_SQL}
+SQL = {"op2_decontaminate": decontaminate.OP2_SQL, "op6_warc": warc.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op10_chat": chat.OP10_SQL}
