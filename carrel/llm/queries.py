@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from carrel.llm import chat, decontaminate, mixing, warc
+from carrel.llm import chat, decontaminate, dedup, lm, mixing, warc
 
 QUERIES = {
+    "op1_lm_scores": lm.op1_lm_scores,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_near_dedup": dedup.op4_near_dedup,
     "op6_warc": warc.op6_warc,
     "op7_mixing": mixing.op7_mixing,
     "op10_chat": chat.op10_chat,
 }
-SQL = {"op2_decontaminate": decontaminate.OP2_SQL, "op6_warc": warc.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op10_chat": chat.OP10_SQL}
+SQL = {"op4_near_dedup": dedup.OP4_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op6_warc": warc.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op10_chat": chat.OP10_SQL}
