@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from carrel.llm import chat, decontaminate, dedup, lm, mixing, warc
+from carrel.llm import chat, decontaminate, dedup, lm, merkle, mixing, secrets, warc
 
 QUERIES = {
     "op1_lm_scores": lm.op1_lm_scores,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_fingerprints": merkle.op3_fingerprints,
     "op4_near_dedup": dedup.op4_near_dedup,
+    "op5_secrets": secrets.op5_secrets,
     "op6_warc": warc.op6_warc,
     "op7_mixing": mixing.op7_mixing,
     "op10_chat": chat.op10_chat,
 }
-SQL = {"op4_near_dedup": dedup.OP4_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op6_warc": warc.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op10_chat": chat.OP10_SQL}
+SQL = {"op3_fingerprints": merkle.OP3_SQL, "op5_secrets": secrets.OP5_SQL, "op4_near_dedup": dedup.OP4_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op6_warc": warc.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op10_chat": chat.OP10_SQL}
