@@ -30,7 +30,7 @@ PARAGRAPH = r"[^\n]*\n|[^\n]+"
 #: Where a section ends; split there, as a repeated group would recurse line by line.
 SECTION_END = r"(?<=(?:^|\n)\n)"
 #: The same sections as matches, for DuckDB.
-SECTION = r"(?:[^\n]+\n)*[^\n]*\n|(?:[^\n]+\n)*[^\n]+"
+SECTION = r"(?:[^\n]+\n)*\n|(?s:.+)"
 
 
 def sha(c: Column) -> Column:
