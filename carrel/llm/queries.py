@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from carrel.llm import chat, decontaminate, dedup, html, lm, merkle, mixing, quality, secrets, warc
 
 QUERIES = {
@@ -15,5 +16,6 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_html": html.op9_html,
     "op10_chat": chat.op10_chat,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op9_html": html.OP9_SQL, "op3_fingerprints": merkle.OP3_SQL, "op5_secrets": secrets.OP5_SQL, "op4_near_dedup": dedup.OP4_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op6_warc": warc.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op10_chat": chat.OP10_SQL}
