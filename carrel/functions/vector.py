@@ -60,7 +60,7 @@ class HashingEmbedder:
     def column(self, text: Column) -> Column:
         words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9]+"), F.lit(0))
         at = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % self.dim).cast("int"))
-        return F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
+        return F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: (F.size(at) - F.size(F.array_remove(at, i))).cast("double"))
 
     def vector(self, text: str) -> list[float]:
         import re

@@ -35,24 +35,18 @@ def nearest(df: DataFrame, query: Sequence[float], k: int, key: str, vector: str
 
 
 def nearest_batch(df: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "embedding", most_queries: int = 10_000, metric: str = "l2") -> DataFrame:
-    """The k rows nearest to each of a bounded set of queries (query_key, vector), in blocks of most_queries.
+    """(query_id, key, distance, rank, score): the k rows nearest to each of a stated set of queries, which is counted first.
 
-    Each task keeps only its k best for each query before the shuffle, so what moves is tasks * queries * k rows.
+    Queries travel as a broadcast list; a larger set is sent in blocks by the caller. Each task keeps its k best of a query before the shuffle (the planner's
+    group limit below the window), so what moves is tasks * queries * k rows.
     """
-    rows = queries.select(F.col(query_key), F.col(vector).alias("_q")).orderBy(query_key).collect() if queries.count() <= most_queries else None
-    if rows is None:
+    if queries.count() > most_queries:
         raise ValueError(f"more than {most_queries} queries; send them in blocks")
-    parts = []
-    for r in rows:
-        parts.append(
-            df.select(F.lit(r[0]).alias("query_id"), F.col(key), distance(F.col(vector), literal(r[1]), metric).alias("distance"))
-            .filter(F.col("distance").isNotNull()).orderBy("distance", key).limit(k)
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
-    return out.withColumn("rank", rank).withColumn("score", score(F.col("distance")))
+    asked = queries.agg(F.collect_list(F.struct(F.col(query_key).alias("query_id"), F.col(vector).alias("v"))).alias("asked"))
+    pairs = df.join(F.broadcast(asked)).select(F.col(key), F.col(vector).alias("x"), F.explode("asked").alias("q"))
+    pairs = pairs.select("q.query_id", key, distance(F.col("x"), F.col("q.v"), metric).alias("distance")).filter(F.col("distance").isNotNull())
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key)))
+    return ranked.filter(F.col("rank") <= k).withColumn("score", score(F.col("distance")))
 
 
 def shaped(df: DataFrame, id_col: str, cid: Column, summary: Column, metadata: Column, with_score: bool) -> DataFrame:

@@ -1,4 +1,5 @@
 """The registered queries of the engine's own operators and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from carrel.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
