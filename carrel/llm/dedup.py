@@ -7,9 +7,9 @@
 3. Verification. Signatures of a pair are compared batch by batch. After each batch the posterior of the similarity (uniform prior) bounds the
    probability that it reaches the threshold; below ``MISS`` the pair is dropped. Survivors are verified exactly on their full sets.
 4. Components of the links, by alternating large and small stars, checkpointed each round.
-5. The rest. Where the non-leaders of a bucket are still in several components, links between them may be missing. These members are joined exactly: by
-   shared tokens of their prefixes (the rarest shingles, enough that similar sets must share one), only between components and with size bounds, then
-   verified on full sets. Then components once more.
+5. The rest. Where the non-leaders of a bucket are still in several components, links between them may be missing. Those outside the largest component of
+   their bucket are a query set that is compared, in blocks and without emitting pairs, with all members of other components that they share buckets with, by
+   signatures and then on full sets. Then components once more.
 
 A link is missed only if its pair shares no band (probability (1 - 0.8^5)^32 = 3e-6 at the threshold, less above it) or is dropped in 3 (about MISS).
 
@@ -38,6 +38,8 @@ BATCH = 32
 MISS = 1e-6
 #: Ids that are broadcast to fetch texts; above, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Shingles of a block of members that are compared in one task.
+BLOCK_TOKENS = 1 << 20
 U = np.uint64
 
 
@@ -222,41 +224,84 @@ def screened(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
 
 def unsettled(buckets: DataFrame, labels: DataFrame, leaders: int) -> DataFrame:
-    """(id, component, query) of members of buckets whose non-leaders are in several components.
+    """(bucket, id, component, query) of the non-leaders of buckets whose non-leaders are in several components.
 
-    query: not in the largest component of such a bucket. A link still missing has such a member.
+    query: not in the largest component of the bucket. A link still missing has such a member, and both its members share such a bucket.
     """
     heads = buckets.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("salt")).agg(F.min("id").alias("id"))
     members = buckets.join(heads.select("bucket", "id"), ["bucket", "id"], "left_anti")
     members = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     per = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     open_ = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("parts > 1")
-    return members.join(open_, "bucket").groupBy("id", "component").agg(F.max(F.col("component") != F.col("largest")).alias("query"))
+    return members.join(open_, "bucket").select("bucket", "id", "component", (F.col("component") != F.col("largest")).alias("query"))
 
 
-def prefix_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of unsettled members of different components that share a token of their prefixes: all that can be similar."""
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = np.frombuffer(row["shingles"], U).view(np.int64)
-                n = len(s)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["id"]] * n, pa.int64()), pa.array([row["component"]] * n, pa.int64()), pa.array([row["query"]] * n, pa.bool_()), pa.array([n] * n, pa.int64()), pa.array(s)],
-                    names=["id", "component", "query", "n", "token"],
-                )
-
-    t = rest.join(sets, "id").mapInArrow(tokens, "id long, component long, query boolean, n long, token long")
-    t = written(t, "dedup-tokens")
-    rarity = t.groupBy("token").agg(F.count("*").alias("df"))
-    least = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")  # similar sets share one of so many rarest tokens
-    heads = t.join(rarity, "token").groupBy("id", "component", "query", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
-    heads = written(heads.select("id", "component", "query", "n", F.explode(F.slice("order", 1, least)).alias("x")).select("id", "component", "query", "n", "x.token"), "dedup-prefixes")
-    q = heads.filter("query").select("token", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    d = heads.select(F.col("token").alias("t"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    near = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
-    return q.join(d, (F.col("token") == F.col("t")) & near).select("a", "b").distinct()
+def compared(queries: list[dict], data: list[dict], threshold: float) -> list[tuple[int, int]]:
+    """Links between queries and rows of data of other components: enough of them to tie the components that have any."""
+    hundredths = round(threshold * 100)
+    sets = [np.frombuffer(r["shingles"], U) for r in data]
+    sizes = np.array([len(x) for x in sets])
+    sigs = np.array([signature(x) for x in sets])
+    parts = np.array([r["component"] for r in data])
+    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := parent.get(x, x)) != x:
+            x = y
+        return x
+
+    links = []
+    for q in queries:
+        mine = np.frombuffer(q["shingles"], U)
+        near = (parts != q["component"]) & (100 * np.minimum(sizes, len(mine)) >= hundredths * np.maximum(sizes, len(mine)))
+        found = np.flatnonzero(near)
+        if not len(found):
+            continue
+        found = found[similar(np.broadcast_to(signature(mine), (len(found), HASHES)), sigs[found], threshold)]
+        if not len(found):
+            continue
+        has = np.zeros(len(tokens), bool)
+        i = np.minimum(np.searchsorted(tokens, mine), len(tokens) - 1)
+        has[i[tokens[i] == mine]] = True
+        for x in found:
+            n = int(has[at[begin[x] : begin[x] + sizes[x]]].sum())
+            if 100 * n >= hundredths * (len(mine) + int(sizes[x]) - n):
+                a, b = top(q["component"]), top(int(parts[x]))
+                if a != b:
+                    parent[a] = b
+                    links.append((q["id"], data[x]["id"]))
+    return links
+
+
+def settled(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The missing links (a, b) among unsettled members.
+
+    Members that share buckets, directly or through others, are a cluster. Its queries are compared with all its members in blocks of
+    ``BLOCK_TOKENS`` shingles: by signatures first, then exactly. Only links that tie components leave a task.
+    """
+    heads = rest.groupBy("bucket").agg(F.min("id").alias("head"))
+    ties = rest.join(heads, "bucket").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    clusters = components(ties).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    rows = rest.groupBy("id", "component").agg(F.max("query").alias("query")).join(clusters, "id").join(sets, "id")
+    rows = written(rows.withColumn("n", F.length("shingles") / 8), "dedup-rows")
+    blocks = lambda n: F.ceil(F.coalesce(n, F.lit(0)) / BLOCK_TOKENS).cast("int")
+    per = rows.groupBy("cluster").agg(blocks(F.sum("n")).alias("d_blocks"), blocks(F.sum(F.when(F.col("query"), F.col("n")))).alias("q_blocks"))
+    rows = rows.join(per.filter("q_blocks > 0"), "cluster")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = ["cluster", "id", "component", "shingles"]
+    q = rows.filter("query").select(*base, F.lit(True).alias("query"), own("q_blocks").alias("qb"), every("d_blocks").alias("db"))
+    d = rows.select(*base, F.lit(False).alias("query"), every("q_blocks").alias("qb"), own("d_blocks").alias("db"))
+
+    def task(t: pa.Table) -> pa.Table:
+        r = t.select(["id", "component", "query", "shingles"]).to_pylist()
+        data = [x for x in r if not x["query"]]
+        links = compared([x for x in r if x["query"]], data, threshold) if data else []
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return q.unionByName(d).groupBy("cluster", "qb", "db").applyInArrow(task, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, leaders: int = LEADERS) -> DataFrame:
@@ -276,8 +321,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, leaders
     labels = components(links)
     rest = written(unsettled(buckets, labels, leaders), "dedup-rest")
     if not rest.isEmpty():
-        sets = written(sets_of(docs, rest.select("id").distinct(), k), "dedup-sets")
-        more = confirmed(prefix_pairs(rest, sets, threshold), sets, threshold)
+        more = settled(rest, sets_of(docs, rest.select("id").distinct(), k), threshold)
         # links found before, as ties of nodes to their components
         ties = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = components(ties.unionByName(more))
