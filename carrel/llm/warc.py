@@ -5,9 +5,10 @@ as revisits that refer to it. Tasks write archives of bounded size into the shar
 (path, length); only reported files are read, so files of lost attempts do no harm.
 
 Reader: files are cut into byte ranges. A task looks for gzip magic in its range, decodes the header of each candidate member, and
-takes it as a record only if it begins with a WARC version line, parses, decodes whole to the stated length, and is followed
-by the end of the file or another member whose header decodes the same way (so bytes inside a compressed record are not mistaken for one).
-A task owns the records that start inside its range and reads past the end of it to finish the last one.
+takes it as a record only if it begins with a WARC version line, parses and decodes whole to the stated length. The first one of a range must also be
+followed by ``CHAIN`` such members or the end of the file, so that members inside a record are not mistaken for records; from there each record ends where the next
+begins, and the start of a file needs no such proof. A task owns the records that start inside its range and reads past the end of it to finish the last one.
+A record of a damaged file is lost only if it is the first of its range and fewer than ``CHAIN`` records stand between it and the damage.
 
 Files go through Spark's shared folder by ``pyarrow.fs``, which opens local, HDFS and object store addresses alike.
 
@@ -34,6 +35,8 @@ MAGIC = b"\x1f\x8b\x08"
 ARCHIVE_BYTES = 256 << 20
 SPLIT_BYTES = 8 << 20
 BLOCK = 1 << 20
+#: Members that must follow the first one found in a range.
+CHAIN = 4
 #: A WARC header must end within this many bytes.
 HEADER_BYTES = 1 << 16
 
@@ -152,8 +155,8 @@ class Member:
         return (data, self.pos - len(self.z.unused_data)) if self.z.eof else None
 
 
-def record_at(f, at: int, size: int, check_next: bool) -> tuple[dict[str, str], bytes, int] | None:
-    """The record whose member starts at the offset: header, block, offset after it."""
+def record_at(f, at: int, size: int, chain: int = 0) -> tuple[dict[str, str], bytes, int] | None:
+    """The record whose member starts at the offset: header, block, offset after it. chain: members that must follow, or the end."""
     if f.read_at(3, at) != MAGIC or not Member(f, at, size).header():
         return None
     if (got := Member(f, at, size).whole()) is None:
@@ -164,16 +167,16 @@ def record_at(f, at: int, size: int, check_next: bool) -> tuple[dict[str, str],
     begin, n = int(head["_end"]), int(head["content-length"])
     if len(data) != begin + n + 4 or data[begin + n :] != b"\r\n\r\n":
         return None
-    if check_next and end < size and (f.read_at(3, end) != MAGIC or not Member(f, end, size).header()):
+    if chain and end < size and record_at(f, end, size, chain - 1) is None:
         return None
     return head, data[begin : begin + n], end
 
 
 def records(f, size: int, start: int, stop: int) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records whose members start in [start, stop)."""
-    at, sure = start, False
+    at, sure = start, start == 0
     while at < stop:
-        if (got := record_at(f, at, size, not sure)) is not None:
+        if (got := record_at(f, at, size, 0 if sure else CHAIN)) is not None:
             head, block, at = got
             sure = True  # the next member starts right here
             yield head, block
