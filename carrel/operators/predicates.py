@@ -17,7 +17,9 @@ OPERATORS = ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin")
 
 def typed(variant: Column, key: str, value: Any) -> tuple[Column, Column]:
     """(the key's value as the type of the literal, whether it has that type); numbers compare with numbers."""
-    path = "$['" + key.replace("'", "\\'") + "']"
+    if "'" in key and '"' in key:
+        return F.lit(None).cast("string"), F.lit(False)  # a path has no way to write such a key
+    path = f'$["{key}"]' if "'" in key else f"$['{key}']"
     found = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
     if isinstance(value, bool):
         return F.try_variant_get(variant, path, "boolean"), found == "BOOLEAN"
@@ -47,11 +49,11 @@ def one(df: DataFrame, key: str, test: Any, variant: str | None) -> Column:
             sample = value[0] if op in ("$in", "$nin") and value else value
             c, same = typed(F.col(variant), key, sample)
             out.append(same & compare(c, op, value))
-    return F.coalesce(reduce(Column.__and__, out), F.lit(False))
+    return reduce(Column.__and__, out)
 
 
 def predicate(df: DataFrame, filters: dict[str, Any] | None, variant: str | None = None) -> Column | None:
-    """The predicate of a filter dictionary over df; None for an empty one (all rows)."""
+    """The predicate of a filter dictionary over df; None for an empty one (all rows). Unknown (null) counts as no match in a filter."""
     parts = []
     for key, test in (filters or {}).items():
         if key in ("$and", "$or"):

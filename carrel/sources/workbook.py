@@ -170,8 +170,8 @@ def with_headers(rows: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A large csv or tsv with a header, all columns text, split by Spark; empty cells are '' and absent ones null."""
-    return spark.read.csv(path, sep=sep, header=True, inferSchema=False, emptyValue="", nullValue="\u0000", multiLine=False)
+    """A large csv or tsv with a header, all columns text, split by Spark. Empty cells and those absent at the end of a row are ''."""
+    return spark.read.csv(path, sep=sep, header=True, inferSchema=False, emptyValue="", nullValue="\u0000", multiLine=False).na.fill("")
 
 
 def xlsx_bytes(book: Sheets) -> bytes:
