@@ -7,7 +7,7 @@ no owner. The full payment goes to the owner of the moment.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN_PRICE = "Error"
@@ -19,20 +19,28 @@ def latest(events: DataFrame) -> DataFrame:
     return e.groupBy("doc").agg(F.max_by("amount", "seq").alias("price"), F.max_by("actor", "seq").alias("owner"))
 
 
-def purchases(events: DataFrame) -> DataFrame:
-    """(seq, doc, buyer, amount, price, owner, accepted): each purchase with price and owner of its moment."""
-    now = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    listed = F.col("kind") == "list"
-    e = events.filter(F.col("kind").isin("list", "buy"))
-    e = e.withColumn("price", F.last(F.when(listed, F.col("amount")), ignorenulls=True).over(now))
-    e = e.withColumn("owner", F.last(F.when(listed, F.col("actor")), ignorenulls=True).over(now))
-    price = F.coalesce("price", F.lit(0).cast(events.schema["amount"].dataType))
-    return e.filter(F.col("kind") == "buy").select("seq", "doc", F.col("actor").alias("buyer"), "amount", price.alias("price"), "owner", (F.col("amount") >= price).alias("accepted"))
+def purchases(events: DataFrame, period: Column | None = None) -> DataFrame:
+    """(seq, doc, buyer, amount, price, owner, accepted): each purchase with price and owner of its moment.
 
-
-def earned(events: DataFrame) -> DataFrame:
+    period: a coarse time that never falls as seq rises, such as the month. With it, a document's events are ordered within a period only, each period starting from what the earlier
+    ones left (one row for each document and period), so a document with a large part of all events is spread over its periods.
+    """
+    e = events.filter(F.col("kind").isin("list", "buy")).withColumn("_period", F.lit(0) if period is None else period)
+    listed = F.when(F.col("kind") == "list", F.struct("amount", "actor"))
+    now = Window.partitionBy("doc", "_period").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("_now", F.last(listed, ignorenulls=True).over(now))
+    if period is not None:
+        left = e.groupBy("doc", "_period").agg(F.max_by(listed, F.when(listed.isNotNull(), F.col("seq"))).alias("_left"))
+        before = Window.partitionBy("doc").orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+        left = left.withColumn("_left", F.last("_left", ignorenulls=True).over(before))
+        e = e.join(left, ["doc", "_period"]).withColumn("_now", F.coalesce("_now", "_left"))
+    price = F.coalesce("_now.amount", F.lit(0).cast(events.schema["amount"].dataType))
+    return e.filter(F.col("kind") == "buy").select("seq", "doc", F.col("actor").alias("buyer"), "amount", price.alias("price"), F.col("_now.actor").alias("owner"), (F.col("amount") >= price).alias("accepted"))
+
+
+def earned(events: DataFrame, period: Column | None = None) -> DataFrame:
     """(owner, earned, sales) of accepted purchases; a null owner collects those of unlisted documents."""
-    return purchases(events).filter("accepted").groupBy("owner").agg(F.sum("amount").alias("earned"), F.count("*").alias("sales"))
+    return purchases(events, period).filter("accepted").groupBy("owner").agg(F.sum("amount").alias("earned"), F.count("*").alias("sales"))
 
 
 def balances(credits: DataFrame) -> DataFrame:

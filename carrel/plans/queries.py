@@ -283,7 +283,7 @@ _ASOF = """(SELECT *, coalesce(last_value(CASE WHEN kind = 'list' THEN amount EN
 
 @query(f"SELECT owner, CAST(sum(amount) AS DOUBLE) AS earned, count(*) AS sales FROM {_ASOF} WHERE kind = 'buy' AND amount >= price GROUP BY owner")
 def ledger_earnings(spark, sf_dir):
-    return ledger.earned(ledger_events(spark, sf_dir, True)).select("owner", F.col("earned").cast("double").alias("earned"), "sales")
+    return ledger.earned(ledger_events(spark, sf_dir, True), F.trunc("seq.l_shipdate", "month")).select("owner", F.col("earned").cast("double").alias("earned"), "sales")
 
 
 @query(f"""SELECT doc, count(*) AS purchases, count(*) FILTER (amount >= price) AS accepted, count(*) FILTER (owner IS NULL) AS unlisted FROM {_ASOF} WHERE kind = 'buy' GROUP BY doc""")

@@ -184,6 +184,13 @@ def test_ledger(spark):
     assert {r.doc: r.price_text for r in ledger.with_prices(docs, ledger.latest(e), "doc", "meta").collect()} == {"d": "7", "e": "0.5", "x": "Error"}
 
 
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["list", "buy"]), st.sampled_from("de"), st.sampled_from("xyz"), st.integers(0, 3)), max_size=20))
+def test_periods_change_no_purchase(spark, rows):
+    e = events(spark, [(i, *r) for i, r in enumerate(rows)])
+    assert sorted(ledger.purchases(e).collect(), key=lambda r: r.seq) == sorted(ledger.purchases(e, F.floor(F.col("seq") / 4)).collect(), key=lambda r: r.seq)
+
+
 def test_withdrawals(spark):
     rows = [(1, "a", "withdraw", 0), (2, "a", "credit", 5), (3, "a", "withdraw", 0), (4, "a", "withdraw", 0), (5, "a", "credit", 2), (6, "b", "credit", 4)]
     b = ledger.balances(spark.createDataFrame(rows, "seq long, owner string, kind string, amount long"))
