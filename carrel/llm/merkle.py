@@ -89,12 +89,16 @@ def successors(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """key, doc_id, text, next_text (as far as it is asked for), next_fingerprint for every row of docs(doc_id, text)."""
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, text, next_text (as far as it is asked for), next_fingerprint for every row of docs(doc_id, text).
+
+    Both joins take the same columns of docs, so that the texts are shuffled once.
+    """
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     asked = successors(d).select(F.col("next").alias("key"), F.col("key").alias("by"), "need")
     given = d.join(asked, "key").select("by", F.struct(F.left("text", F.col("need")).alias("text"), fingerprint(F.col("text")).alias("fp")).alias("next"))
     given = given.groupBy(F.col("by").alias("key")).agg(F.min("next").alias("next"))
-    return d.join(given, "key").select("doc_id", "text", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fingerprint"))
+    doc_id = F.nullif(F.col("key"), F.lit(LEAST)).alias("doc_id")
+    return d.join(given, "key").select(doc_id, "text", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fingerprint"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
