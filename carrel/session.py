@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +37,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bench_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package and the modules beside it to the executors, once for each application, so that their Python workers can import them."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="carrel-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/carrel-code.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted([*root.glob("*.py"), *root.glob("carrel/**/*.py")]):
+            z.write(f, str(f.relative_to(root)))
+    sc.addPyFile(f"{folder}/carrel-code.zip")
+    _shipped.add(sc.applicationId)
