@@ -9,7 +9,7 @@ The benchmark's fingerprints are broadcast in blocks of at most ``BLOCK_BYTES``
 documents pass the blocks one after the other in one scan, without a shuffle, and each document is handled on its own, so no key can be hot.
 
 Nulls: a null text has no words and no hits; an item without words has no window; a null item_id reads ``null``. Items that share an
-item_id count once. Repeated documents are separate rows; a null doc_id is kept. No items: nothing is hit. Extra columns of documents are ignored.
+item_id count once. Repeated documents are separate rows; a null doc_id is kept. No items: nothing is hit. Extra columns of documents are carried along.
 """
 
 from __future__ import annotations
@@ -119,10 +119,13 @@ def benchmark_blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[
         yield [tuple(r) for r in b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
 
 
+FOUND = ("n_words", "spans", "items")
+
+
 def contaminated_spans(docs: DataFrame, bench: DataFrame, k: int = K, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, n_words, spans array<struct<start, end>> of hit words, items array<string> for every row of docs(doc_id, text)."""
+    """docs(text, ...) with n_words, spans array<struct<start, end>> of hit words and items array<string>; columns of these names are replaced."""
     sc = docs.sparkSession.sparkContext
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    out = docs.drop(*FOUND).select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for items in benchmark_blocks(bench, block_bytes):
         index = sc.broadcast(Index(items, k, window))
 
@@ -139,10 +142,9 @@ def contaminated_spans(docs: DataFrame, bench: DataFrame, k: int = K, window: in
                             mask[s["start"] : s["end"]] = True
                         found[d] = sorted({*found[d], *index.value.extend(datas[d].split(), hits, mask)})
                         spans[d] = spans_of(mask)
-                    yield pa.RecordBatch.from_arrays(
-                        [rows.column("doc_id"), rows.column("text"), pa.array(np.diff(off), pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string()))],
-                        names=["doc_id", "text", "n_words", "spans", "items"],
-                    )
+                    kept = [n for n in rows.schema.names if n not in FOUND]
+                    new = [pa.array(np.diff(off), pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in kept], *new], names=[*kept, *FOUND])
 
         out = out.mapInArrow(task, out.schema)
     return out
@@ -150,7 +152,7 @@ def contaminated_spans(docs: DataFrame, bench: DataFrame, k: int = K, window: in
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items, windows of 10 words."""
-    d = contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    d = contaminated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return d.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),

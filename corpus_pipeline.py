@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 columns of documents.
 
 1. quality: documents that the classifier scores below ``REJECT`` go. It learns from the labels' training fold.
-2. near_dedup: one document of each component of near duplicates stays, the one with the smallest doc_id (five-word shingles, similarity 0.8).
+2. near_dedup: one document of each component of near duplicates stays, the one with the smallest doc_id (five-word shingles, similarity 0.8). Of rows that share
+   a doc_id the one whose columns sort first stays.
 3. decontaminate: documents that share a window of 10 words with a benchmark item go.
 4. secrets: found spans are replaced by a mark in the text, and n_chars is counted again; no document goes.
 5. mix: the word targets of the sources that are left and how many words of each document the mix takes.
@@ -34,16 +35,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs)
-    # The rows to drop carry ids only. A null doc_id, or one that stands for its component, drops nothing.
+    found = written(near_duplicates(docs).select("doc_id", "component_id"), "pipeline-components")
+    # Only ids meet the texts. A null doc_id drops nothing, as no row can be told by it.
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    again = written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
+    if again.isEmpty():
+        return kept
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
+    return kept.join(again, "doc_id", "left_anti").unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = docs.select("doc_id", "lang", "source", "n_chars", "text")
-    hit = contaminated_spans(rest, table(spark, sf_dir, "benchmark")).filter(F.size("spans") > 0).select("doc_id").distinct()
-    return rest.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    return contaminated_spans(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).filter(F.size("spans") == 0).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
