@@ -1,6 +1,6 @@
 """HTML main-text extraction with a host suffix array.
 
-1. A tolerant scan of each page yields its visible blocks in order, each with a role from the markup: ``main`` (inside an article or main element), ``drop`` (menus, headers,
+1. A tolerant scan of each page yields its visible blocks in order, each with a role from the markup: ``main`` (inside an article or main element or role), ``drop`` (menus, headers,
    footers, sidebars, notices, adverts, forms, reader comments: by element, role or class words) or ``open`` (undecided). Scripts, styles and other unseen elements are not blocks.
 2. Outside the main elements, the tokens of each page's blocks are one stream; all streams of a host are ordered as the suffixes of one text: by host and first
    ``MIN_TOKENS`` tokens. Suffixes with equal first tokens in streams of distinct pages are a long repeated substring, so the tokens that they start are covered. (A
@@ -40,6 +40,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("script style noscript template title textarea select option iframe object svg math canvas audio video head".split())
 #: Their content is text up to the end tag.
 RAW = frozenset("script style title textarea iframe noscript template".split())
+MAIN = frozenset(("article", "main"))
 DROP = frozenset("nav footer aside form button dialog menu".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Words of class and id that mark what is not the article.
@@ -53,8 +54,10 @@ CLOSES = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "
 #: How far the tag that closes a p or li is looked for.
 WALLS = frozenset("article main section div nav header footer aside form table ul ol dl body html td th".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: No part can be matched in two ways, and a tag ends at the next one, so a broken page costs no more than its length.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}'|[\"'])*+)>|<[!?][^<>]*+>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ROLE_MAIN = re.compile(r"(?:^|\s)role\s*=\s*[\"']?main\b", re.I)
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -70,7 +73,7 @@ def dropped(name: str, attributes: str, in_main: bool) -> bool:
         k = k.lower()
         if k == "role" and value.strip().lower() in DROP_ROLES:
             return True
-        if k in ("class", "id") and name not in ("html", "body", "article", "main") and DROP_WORDS & set(WORDS.findall(CAMEL.sub(" ", value).lower())):
+        if k in ("class", "id") and name not in ("html", "body") and (in_main or name not in MAIN) and DROP_WORDS & set(WORDS.findall(CAMEL.sub(" ", value).lower())):
             return True
         if k == "aria-hidden" and value.strip().lower() == "true":
             return True
@@ -143,7 +146,7 @@ def blocks(html: str) -> list[tuple[str, str]]:
                     break
             if name not in BLOCKS:
                 flush()
-            d, a = dropped(name, m[3], mains > 0), name in ("article", "main")
+            d, a = dropped(name, m[3], mains > 0), name in MAIN or bool(ROLE_MAIN.search(m[3]))
             stack.append((name, d, a))
             drops, mains = drops + d, mains + a
         elif dropped(name, m[3], mains > 0):  # an inline element

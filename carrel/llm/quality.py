@@ -10,7 +10,7 @@ executors, only their features reach the driver. The prior of the labels in the
 Scoring is one scan over whole texts without a shuffle.
 
 Nulls: a null text is empty; an empty text is one passage of zeros and gets a score like any other. Rows without a label or with a null doc_id do not train; repeated labels count each.
-Without labels of both kinds every score is the share of label 1 (0.5 without any). An empty table gives no rows. Extra columns are ignored.
+Without labels of both kinds every score is the share of label 1 (0.5 without any). An empty table gives no rows. Extra columns are carried along.
 Texts above ``PIECE_BYTES`` are described in pieces: triples seen before are then looked for within the piece.
 """
 
@@ -231,7 +231,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = T
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, text, ...) with a column score."""
+    """docs(text, ...) with a column score; a column of that name is replaced."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.withColumn("score", F.lit(0.0)).schema
 

@@ -10,7 +10,7 @@ The base kinds ``assign``, ``access`` and ``hex`` come first; the others are pub
 Postings are rows (trigram, doc_id); a frequent trigram is many rows, never one list, and sums per document are combined before the shuffle.
 
 Nulls: a null text is empty; a null doc_id is looked up like any other; documents with one doc_id share postings, which only adds candidates. An empty table gives no rows.
-Extra columns are ignored.
+Extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -205,20 +205,23 @@ def matches(text: Column, rule: Rule, kind: int) -> Column:
 
 
 def found_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with spans array<struct<start, kind, end, keep>>, ordered by start and kind (its place in rules), for every row of docs(doc_id, text, ...)."""
+    """docs with spans array<struct<start, kind, end, keep>>, ordered by start and kind (its place in rules), for every row of docs(doc_id, text, ...).
+
+    A column of docs that is called spans is replaced.
+    """
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     grams = sorted(set().union(*(trigrams(q) for q in queries.values())))
-    cand = candidates(build_index(docs, grams), rules).select(F.col("doc_id").alias("_doc_id"), F.col("kinds").alias("_kinds"))
-    d = docs.join(cand, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left").drop("_doc_id")
+    cand = candidates(build_index(docs, grams), rules).select(F.col("doc_id").alias("__carrel_doc_id"), F.col("kinds").alias("__carrel_kinds"))
+    d = docs.join(cand, F.col("doc_id").eqNullSafe(F.col("__carrel_doc_id")), "left").drop("__carrel_doc_id")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast(SPAN)
     spans = []
     for i, r in enumerate(rules):
         here = F.regexp_like(text, F.lit(r.java))
         if queries[r.kind] is not True:
-            here = F.coalesce(F.array_contains("_kinds", r.kind), F.lit(False)) & here
+            here = F.coalesce(F.array_contains("__carrel_kinds", r.kind), F.lit(False)) & here
         spans.append(F.when(here, matches(text, r, i)).otherwise(none))
-    return d.withColumn("spans", F.array_sort(F.concat(*spans))).drop("_kinds")
+    return d.withColumn("spans", F.array_sort(F.concat(*spans))).drop("__carrel_kinds")
 
 
 def shown(spans: Column, rules: tuple[Rule, ...]) -> Column:

@@ -39,7 +39,8 @@ def test_word_hashes_tell_words_apart_and_cut_long_texts(monkeypatch):
 
 
 # op 1 ------------------------------------------------------------------------------------------------------------------------------------------
-def test_lm_scores_equal_the_trie(spark):
+@pytest.mark.parametrize("blob_bytes", [16, 100, 1 << 20])  # the first cuts texts into pieces
+def test_lm_scores_equal_the_trie(spark, blob_bytes):
     r = random.Random(2)
     rows = [(i, prose(r, r.randint(0, 30), 12)) for i in range(60)] + EDGES
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
@@ -55,7 +56,7 @@ def test_lm_scores_equal_the_trie(spark):
     n, v = tokens + trained, len(counts) + 1
     cost = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
     d = docs(spark, rows).withColumn("score", F.lit("clash"))
-    got = lm.corpus_scores(d, fold(F.col("doc_id"), 5) == 1, chunk_bytes=400).collect()
+    got = lm.corpus_scores(d, fold(F.col("doc_id"), 5) == 1, chunk_bytes=400, blob_bytes=blob_bytes).collect()
     assert len(got) == len(rows)
     want = sorted((i if i is not None else -1, round(trie.score(t), 8), round(sum(cost(counts.get(w, 0)) for w in normal(t, SPACED).split()) + cost(trained), 8),
                    len(normal(t, SPACED).split()) + 1, sum(w in counts for w in normal(t, SPACED).split()) + 1, n, held(i)) for i, t in rows)
@@ -81,7 +82,7 @@ def test_lm_without_rows_or_training(spark):
 # op 2 ------------------------------------------------------------------------------------------------------------------------------------------
 def contaminated(spark, rows, items, **kw):
     n = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    d = decontaminate.contaminated_spans(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), **kw)
+    d = decontaminate.contaminated_spans(docs(spark, rows).withColumn("items", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string"), **kw)
     out = d.select("doc_id", "n_words", n.alias("h"), F.size("items").alias("i"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("s"))
     return sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.h, r.i, r.s, r.h > 0) for r in out.collect())
 
@@ -245,7 +246,7 @@ SECRETS = [
 
 def test_secrets_equal_plain_search(spark):
     rows = [(i, t) for i, t in enumerate(SECRETS)] + EDGES + [(3, "token=zzzzzzz")]
-    got = secrets.found_spans(docs(spark, rows).withColumn("kinds", F.lit(1))).collect()
+    got = secrets.found_spans(docs(spark, rows).withColumn("kinds", F.lit(1)).withColumn("spans", F.lit(1))).collect()
     assert len(got) == len(rows)
     for x in got:
         assert [(s.start, s.kind, s.end) for s in x.spans] == secrets.brute_force(x.text)
@@ -383,7 +384,7 @@ def test_quality_gradients_and_edges(spark):
         p[i] += 1e-5
         assert g[k][i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
     none = quality.train(docs(spark, [(1, "a")]), spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))
-    assert [v.score for v in quality.scored(docs(spark, EDGES), none).collect()] == pytest.approx([0.5] * len(EDGES))
+    assert [v.score for v in quality.scored(docs(spark, EDGES).withColumn("score", F.lit("clash")), none).collect()] == pytest.approx([0.5] * len(EDGES))
     assert quality.scored(docs(spark, []), none).count() == 0
 
 
@@ -397,10 +398,11 @@ def test_quality_pieces_of_long_texts(monkeypatch):
 def test_blocks_and_roles():
     page = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><li>Home<li>More</nav><div class="cookie-notice">We use</div>
       <article class="post ad-free"><header><h2>Head &amp; line</h2></header><p>One <b>bold<p>two&nbsp;&#233; &lt;x&gt; a<br>b</p><script>var x="<p>no</p>";</script><div id="comments"><p>first!</p></div>
-      <aside>see</aside><!-- <p>hidden</p> --><table><tr><td>c1<td>c2</table><form>q <input></form></article><div>open text</div><footer>&copy; x</footer>"""
+      <aside>see</aside><article class="comment">second!</article><!-- <p>hidden</p> --><table><tr><td>c1<td>c2</table><form>q <input></form></article><div>open text</div><footer>&copy; x</footer>"""
     found = html.blocks(page)
     assert [t for r, t in found if r == "main"] == ["Head & line", "One bold", "two é <x> a b", "c1", "c2"]
     assert [t for r, t in found if r == "open"] == ["open text"]
+    assert html.blocks('<div role="main">x</div>y') == [("main", "x"), ("open", "y")]
     assert html.blocks("") == [] and html.blocks("a < b <p") == [("open", "a < b <p")] and html.blocks("<script>x") == []
 
 
