@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="carrel-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         sc.setCheckpointDir(at)
         at = sc.getCheckpointDir()
     return at.rstrip("/")
@@ -34,11 +37,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a batch that goes to a Python worker while a table is written; texts make the default of 10,000 large.
+BATCH_ROWS = 1024
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     at = scratch(spark, name)
-    df.write.parquet(at)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, BATCH_ROWS)
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(at)
 
 

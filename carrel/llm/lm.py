@@ -36,8 +36,9 @@ from carrel.llm.common import fold, table, written
 from carrel.llm.wordhash import SPACED, block_hashes, normal
 
 ORDER = 5
-CHUNK_BYTES = 48 << 20
-BLOB_BYTES = 2 << 20
+CHUNK_BYTES = 32 << 20
+#: Bytes of text that are turned into grams at once; longer texts are cut at words, each piece with the bytes before it.
+BLOB_BYTES = 1 << 19
 #: Bytes that UTF-8 never uses.
 PAD, END = 0xFF, 0xFE
 #: Symbols below order 0: all bytes but PAD.
@@ -51,22 +52,40 @@ def symbols(text: str | None) -> bytes:
     return b" ".join(normal(text, SPACED).split()) + bytes([END])
 
 
-def pack(datas: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The (order + 1)-grams of texts in symbols(), one for each symbol, as numbers; and how many each text has."""
-    pad = bytes([PAD]) * order
-    a = np.frombuffer(b"".join(pad + d for d in datas), np.uint8)
+def pieces(data: bytes, order: int = ORDER, size: int = BLOB_BYTES) -> Iterator[bytes]:
+    """A text in symbols() as parts that begin with the order bytes before them; cut after spaces."""
+    at, before = 0, bytes([PAD]) * order
+    while at < len(data):
+        end = data.find(b" ", at + size) + 1 if len(data) - at > 2 * size else 0
+        end = end or len(data)
+        yield before + data[at:end]
+        before = (before + data[max(at, end - order) : end])[-order:] if order else b""
+        at = end
+
+
+def pack(parts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The (order + 1)-grams of pieces(), one for each symbol, as numbers; and how many each piece has."""
+    a = np.frombuffer(b"".join(parts), np.uint8)
+    lens = np.array([len(p) - order for p in parts], np.int64)
     g = np.zeros(max(0, len(a) - order), np.int64)
     for j in range(order + 1):
         np.left_shift(g, 8, out=g)
         g |= a[j : len(g) + j]
-    return g[a[order:] != PAD], np.array([len(d) for d in datas], np.int64)
-
-
-def words(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts in symbols(), and how many each text has."""
-    a = np.frombuffer(b"".join(datas), np.uint8)
-    h, starts = block_hashes(a, (a != 32) & (a != END))
-    ends = np.cumsum([len(d) for d in datas])
+    # the symbol of g[i] is a[i + order]; the first of each piece stands order bytes after its start
+    own = np.ones(len(g), bool)
+    for k in range(order):
+        own[np.cumsum(lens + order)[:-1] - order + k] = False
+    return g[own], lens
+
+
+def words(parts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of pieces(), and how many each piece has."""
+    a = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(p) for p in parts])
+    own = (a != 32) & (a != END)
+    for k in range(order):
+        own[ends - [len(p) for p in parts] + k] = False
+    h, starts = block_hashes(a, own)
     return h.view(np.int64), np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
@@ -74,12 +93,19 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order with the sums of n."""
     if not len(keys):
         return keys, n
-    o = np.argsort(keys, kind="stable")
+    o = np.argsort(keys)
     k = keys[o]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     return k[first], np.add.reduceat(n[o], first)
 
 
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with how often they occur. Sorting alone is several times as fast as sorting places."""
+    k = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.diff(np.append(first, len(k)))
+
+
 def found(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The value of each key in a sorted table; 0 where it has none."""
     if not len(table):
@@ -88,41 +114,86 @@ def found(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> np.ndarray
     return np.where(table[i] == keys, values[i], 0)
 
 
+class Lookup:
+    """Places of keys in an array of distinct ones, by hash tables of one key a slot; keys that lose a slot go to the next table."""
+
+    MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.view(np.uint64)
+        self.tables, left = [], np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            bits = max(4, int(len(left)).bit_length() + 1)
+            m = np.uint64(self.MULTIPLIERS[len(self.tables) % 4] + 2 * (len(self.tables) // 4))
+            shift = np.uint64(64 - bits)
+            at = (self.keys[left] * m) >> shift
+            slots = np.full(1 << bits, -1, np.int32)
+            slots[at] = left
+            self.tables.append((m, shift, slots))
+            left = left[slots[at] != left]
+
+    def places(self, asked: np.ndarray) -> np.ndarray:
+        """All asked keys must be there."""
+        q = asked.view(np.uint64)
+        out = np.zeros(len(q), np.int32)
+        rest = None
+        for m, shift, slots in self.tables:
+            x = q if rest is None else q[rest]
+            i = slots[(x * m) >> shift]
+            miss = self.keys[i] != x
+            if rest is None:
+                out, rest = i, np.flatnonzero(miss)
+            else:
+                out[rest] = i
+                rest = rest[miss]
+            if not len(rest):
+                break
+        return out
+
+
 class Part:
-    """Distinct keys with counts that grow block by block in bounded memory."""
+    """Distinct keys with training counts that grow block by block in bounded memory."""
 
-    def __init__(self):
-        self.keys, self.n, self.new, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    HELD = 700_000
 
-    def add(self, keys: np.ndarray, counted: np.ndarray) -> None:
-        """counted: which of the keys are from training texts."""
-        if len(keys):
-            self.new.append(summed(keys, counted.astype(np.int64)))
-            self.held += len(self.new[-1][0])
-            if self.held > 2_000_000:
-                self.flush()
+    def __init__(self):
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.raw: tuple[list, list] = ([], [])
+        self.held = 0
+
+    def add(self, keys: np.ndarray, trained: np.ndarray) -> None:
+        """trained: which of the keys are from training texts."""
+        self.raw[1].append(keys[trained])
+        self.raw[0].append(keys[~trained])
+        self.held += len(keys)
+        if self.held > self.HELD:
+            self.flush()
 
     def flush(self) -> None:
-        parts = [(self.keys, self.n), *self.new]
-        self.keys, self.n = summed(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
-        self.new, self.held = [], 0
+        new = [counted(np.concatenate(x)) if x else (self.keys[:0], self.n[:0]) for x in self.raw]
+        keys = np.concatenate([self.keys, new[1][0], new[0][0]])
+        self.keys, self.n = summed(keys, np.concatenate([self.n, new[1][1], np.zeros(len(new[0][0]), np.int64)]))
+        self.raw, self.held = ([], []), 0
 
 
-#: kind 0: gram, 1: word, 2: texts.
+#: kind 0: gram, 1: word, 2: pieces of texts (doc: their place in the chunk).
 CHUNKS = pa.schema([
     ("kind", pa.int8()), ("chunk", pa.int64()), ("key", pa.int64()), ("n", pa.int64()),
-    ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("blob", pa.binary()), ("size", pa.int64()),
+    ("doc", pa.list_(pa.int32())), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("blob", pa.binary()),
 ])
-CHUNKS_DDL = "kind byte, chunk long, key long, n long, doc_id array<long>, held_out array<boolean>, blob binary, size long"
+CHUNKS_DDL = "kind byte, chunk long, key long, n long, doc array<int>, doc_id array<long>, held_out array<boolean>, sizes array<int>, blob binary"
 
 
-def chunked(order: int, chunk_bytes: int):
-    """Step 1, for mapInArrow over (doc_id, text, held_out)."""
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_id, text, held_out) of batches, of which only a slice is turned into Python values at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            yield from zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "held_out")), strict=True)
 
-    def texts(chunk: int, ids: list, held: list, datas: list[bytes]) -> pa.RecordBatch:
-        data = b"".join(datas)
-        row = {"kind": 2, "chunk": chunk, "doc_id": ids, "held_out": held, "blob": pa.compress(data, "zstd", asbytes=True), "size": len(data)}
-        return pa.RecordBatch.from_pylist([row], CHUNKS)
+
+def chunked(order: int, chunk_bytes: int, blob_bytes: int):
+    """Step 1, for mapInArrow over (doc_id, text, held_out)."""
 
     def keyed(chunk: int, kind: int, part: Part) -> Iterator[pa.RecordBatch]:
         part.flush()
@@ -132,31 +203,36 @@ def chunked(order: int, chunk_bytes: int):
             yield pa.RecordBatch.from_arrays(cols + [pa.nulls(len(k), f.type) for f in list(CHUNKS)[4:]], schema=CHUNKS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new = lambda: (uuid.uuid4().int >> 65, Part(), Part(), 0)
-        chunk, grams, tokens, size = new()
-        ids, held, datas, n = [], [], [], 0
-
-        def emit():
-            trained = ~np.array(held, bool)
-            for part, (keys, lens) in ((grams, pack(datas, order)), (tokens, words(datas))):
+        codec = pa.Codec("zstd", compression_level=5)
+        new = lambda: (uuid.uuid4().int >> 65, Part(), Part(), 0, 0)
+        chunk, grams, tokens, size, doc = new()
+        rows, held, n = [], [], 0  # of the blob: (doc, doc_id, held_out) and the pieces
+
+        def emit() -> pa.RecordBatch:
+            trained = np.array([not r[2] for r in rows])
+            for part, (keys, lens) in ((grams, pack(held, order)), (tokens, words(held, order))):
                 part.add(keys, np.repeat(trained, lens))
-            return texts(chunk, ids, held, datas)
-
-        for batch in batches:
-            for i, text, h in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-                ids.append(i)
-                held.append(h)
-                datas.append(symbols(text))
-                n += len(datas[-1])
-                if n >= BLOB_BYTES:
+            row = {"kind": 2, "chunk": chunk, "sizes": [len(p) for p in held], "blob": codec.compress(b"".join(held), asbytes=True)}
+            return pa.RecordBatch.from_pylist([row | dict(zip(("doc", "doc_id", "held_out"), map(list, zip(*rows, strict=True)), strict=True))], CHUNKS)
+
+        for i, text, h in rows_of(batches):
+            for p in pieces(symbols(text), order, blob_bytes):
+                rows.append((doc, i, h))
+                held.append(p)
+                n += len(p)
+                if n >= blob_bytes:
                     yield emit()
                     size += n
-                    ids, held, datas, n = [], [], [], 0
-                    if size >= chunk_bytes:
-                        yield from keyed(chunk, 0, grams)
-                        yield from keyed(chunk, 1, tokens)
-                        chunk, grams, tokens, size = new()
-        if datas:
+                    rows, held, n = [], [], 0
+            doc += 1
+            if size >= chunk_bytes:
+                if held:
+                    yield emit()
+                    rows, held, n = [], [], 0
+                yield from keyed(chunk, 0, grams)
+                yield from keyed(chunk, 1, tokens)
+                chunk, grams, tokens, size, doc = new()
+        if held:
             yield emit()
         yield from keyed(chunk, 0, grams)
         yield from keyed(chunk, 1, tokens)
@@ -222,16 +298,20 @@ def costs(keys: np.ndarray, n: np.ndarray, low: np.ndarray, order: int = ORDER)
     return cost
 
 
-def corpus_scores(docs: DataFrame, held_out: Column, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs(doc_id, text)."""
+def corpus_scores(docs: DataFrame, held_out: Column, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, blob_bytes: int = BLOB_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs(doc_id, text). order: 2 to 6."""
+    if not 2 <= order <= 6:
+        raise ValueError("a gram of order + 1 bytes must fit a number")
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     d = d.coalesce(max(spark.sparkContext.defaultParallelism, int(size // chunk_bytes) + 1))
-    chunks = written(d.mapInArrow(chunked(order, chunk_bytes), CHUNKS_DDL), "lm-chunks")
+    chunks = written(d.mapInArrow(chunked(order, chunk_bytes, blob_bytes), CHUNKS_DDL), "lm-chunks")
     keys = chunks.filter("kind < 2").select("kind", "chunk", "key", "n")
     counts = written(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    trained = chunks.filter("kind = 2").agg(F.sum(F.size(F.filter("held_out", lambda h: ~h)))).first()[0] or 0
+    # a text is counted where its first piece stands
+    firsts = chunks.filter("kind = 2").select("chunk", F.explode(F.filter(F.arrays_zip("doc", "held_out"), lambda x: ~x["held_out"])).alias("x")).select("chunk", "x.doc").distinct()
+    trained = firsts.count()
     kinds = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("seen"), F.count("*").alias("rows")).collect()}
     tokens = int(kinds[1]["n"] if 1 in kinds else 0) + int(trained)
     types = int(kinds[1]["seen"] if 1 in kinds else 0) + (trained > 0)
@@ -251,7 +331,7 @@ def corpus_scores(docs: DataFrame, held_out: Column, order: int = ORDER, chunk_b
     model = grams.repartition(parts, context).mapInArrow(priced, "kind byte, key long, value double")
     model = model.unionByName(counts.filter("kind = 1").select("kind", "key", F.col("n").cast("double").alias("value")))
     asked = keys.select("kind", "chunk", "key").join(model, ["kind", "key"]).select("chunk", "kind", "key", "value")
-    blobs = chunks.filter("kind = 2").select(F.col("chunk").alias("of_chunk"), "doc_id", "held_out", "blob", "size")
+    blobs = chunks.filter("kind = 2").select(F.col("chunk").alias("of_chunk"), "doc", "doc_id", "held_out", "sizes", "blob")
     share = math.log10(tokens + 0.5 * (types + 1))
     out = pa.schema([
         ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
@@ -259,30 +339,38 @@ def corpus_scores(docs: DataFrame, held_out: Column, order: int = ORDER, chunk_b
     ])
 
     def scored(texts: pa.Table, values: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return out.empty_table()
         kind, key, value = (values.column(x).to_numpy() for x in ("kind", "key", "value"))
-        sides = []
-        for x in (0, 1):
-            o = np.argsort(key[kind == x])
-            sides.append((key[kind == x][o], value[kind == x][o]))
-        (gk, gv), (wk, wv) = sides
-        wb = np.log10(wv + 0.5) - share
-        end = math.log10(trained + 0.5) - share
-        tables = []
+        grams, vocabulary = Lookup(key[kind == 0]), Lookup(key[kind == 1])
+        cost, seen = value[kind == 0], value[kind == 1]
+        base = np.log10(seen + 0.5) - share
+        del kind, key, value
+        n = 1 + max(max(x) for x in texts.column("doc").to_pylist())
+        sums = {c: np.zeros(n) for c in ("n", "known", "base", "score")}
+        ids, held = [None] * n, [False] * n
         for row in range(texts.num_rows):
             one = {c: texts.column(c)[row].as_py() for c in texts.column_names}
-            data = pa.decompress(one["blob"], one["size"], "zstd", asbytes=True)
-            datas = [x + bytes([END]) for x in data.split(bytes([END]))[:-1]]
-            g, lens = pack(datas, order)
-            cost = gv[np.searchsorted(gk, g)]
-            score = np.add.reduceat(cost, np.cumsum(lens) - lens)
-            h, n = words(datas)
-            i = np.searchsorted(wk, h)
-            doc = np.repeat(np.arange(len(n)), n)
-            base = np.bincount(doc, wb[i], len(n)) + end
-            known = np.bincount(doc, wv[i] > 0, len(n)).astype(np.int64) + int(trained > 0)
-            cols = [pa.array(one["doc_id"], pa.int64()), pa.array(one["held_out"], pa.bool_()), n + 1, known, np.full(len(n), tokens), base, score]
-            tables.append(pa.Table.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], schema=out))
-        return pa.concat_tables(tables)
+            data = pa.decompress(one["blob"], sum(one["sizes"]), "zstd", asbytes=True)
+            ends = np.cumsum(one["sizes"]).tolist()
+            parts = [data[e - k : e] for e, k in zip(ends, one["sizes"], strict=True)]
+            doc = np.array(one["doc"])
+            for d, i, h in zip(one["doc"], one["doc_id"], one["held_out"], strict=True):
+                ids[d], held[d] = i, h
+            g, lens = pack(parts, order)
+            np.add.at(sums["score"], doc, np.add.reduceat(cost[grams.places(g)], np.cumsum(lens) - lens))
+            h, lens = words(parts, order)
+            at, of = vocabulary.places(h), np.repeat(doc, lens)
+            sums["n"] += np.bincount(of, minlength=n)
+            sums["known"] += np.bincount(of, seen[at] > 0, n)
+            sums["base"] += np.bincount(of, base[at], n)
+        cols = [
+            pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sums["n"].astype(np.int64) + 1), pa.array(sums["known"].astype(np.int64) + int(trained > 0)),
+            pa.array(np.full(n, tokens)), pa.array(sums["base"] + math.log10(trained + 0.5) - share), pa.array(sums["score"]),
+        ]
+        del texts, values, grams, vocabulary, cost, seen, base
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_arrays(cols, schema=out)
 
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blobs.groupBy("of_chunk").cogroup(asked.groupBy("chunk")).applyInArrow(scored, ddl)
