@@ -14,8 +14,8 @@
 A link is missed only if its pair shares no band (probability (1 - 0.8^5)^32 = 3e-6 at the threshold, less above it) or is dropped in 3 (about MISS).
 
 Nulls and edges: a null or empty text, or one without words, has the empty set and is linked with nothing. A text of fewer than k words has one shingle, the whole
-sequence. Rows with one doc_id are one node with several texts. A null doc_id is linked like any other, but is never a representative where another row of its
-class has an id. An empty table gives no rows. Extra columns are ignored.
+sequence. Rows with one doc_id are one node with several texts. A row with a null doc_id joins the component of rows with the same words; words that only such rows have
+are linked with nothing, and their component is null. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ HASHES = BANDS * ROWS
 LEADERS = 2
 BATCH = 32
 MISS = 1e-6
-#: Ids that are broadcast to fetch texts; above, they are joined by a shuffle.
+#: Ids or buckets (numbers) that are broadcast, counted first; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shingles of a block of members that are compared in one task.
 BLOCK_TOKENS = 1 << 20
@@ -313,8 +313,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, leaders
     reps = written(reps, "dedup-texts")
     nodes = reps.filter("id IS NOT NULL")
     buckets = nodes.select(F.explode("bands").alias("bucket"), "id")
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket")
-    buckets = written(buckets.join(shared, "bucket"), "dedup-buckets")
+    shared = written(buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket"), "dedup-shared")
+    # most buckets have one member; while the others are few, their members are found without another shuffle
+    buckets = written(buckets.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "bucket"), "dedup-buckets")
     pairs = written(screened(leader_pairs(buckets, leaders), nodes, threshold), "dedup-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     links = written(confirmed(pairs, sets_of(docs, ids, k), threshold), "dedup-links")

@@ -196,8 +196,10 @@ def brute_components(rows, k, threshold=80):
     return {i: top(i) for i in ids}
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates_equal_brute_force(spark, k):
+@pytest.mark.parametrize(("k", "ids", "tokens"), [(2, 10**6, 1 << 20), (5, 0, 1500)])  # the second joins by shuffles and compares in many blocks
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, ids, tokens):
+    monkeypatch.setattr(dedup, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(dedup, "BLOCK_TOKENS", tokens)
     r = random.Random(k)
     base = [f"b{r.randrange(300)}" for _ in range(90)]
     rows = [(i, t) for i, t in EDGES if i is not None]
