@@ -129,10 +129,19 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, SIGNED)
 
 
+def only(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose key is (left_semi) or is not (left_anti) in keys, a frame of that column. Few keys are broadcast, counted first; more are joined by a shuffle."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, key, how)
+
+
+def members(pairs: DataFrame) -> DataFrame:
+    """The distinct ids in pairs(a, b)."""
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, shingles binary) of the documents whose ids are in ids(id), one row for each distinct set."""
-    small = ids.count() <= BROADCAST_IDS
-    d = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    d = only(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, "id")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,10 +324,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, leaders
     buckets = nodes.select(F.explode("bands").alias("bucket"), "id")
     shared = written(buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket"), "dedup-shared")
     # most buckets have one member; while the others are few, their members are found without another shuffle
-    buckets = written(buckets.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "bucket"), "dedup-buckets")
-    pairs = written(screened(leader_pairs(buckets, leaders), nodes, threshold), "dedup-pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    links = written(confirmed(pairs, sets_of(docs, ids, k), threshold), "dedup-links")
+    buckets = written(only(buckets, shared, "bucket"), "dedup-buckets")
+    pairs = written(leader_pairs(buckets, leaders), "dedup-candidates")
+    pairs = written(screened(pairs, only(nodes, members(pairs), "id"), threshold), "dedup-pairs")
+    links = written(confirmed(pairs, sets_of(docs, members(pairs), k), threshold), "dedup-links")
     labels = components(links)
     rest = written(unsettled(buckets, labels, leaders), "dedup-rest")
     if not rest.isEmpty():

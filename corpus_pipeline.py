@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from carrel.llm.common import table, written
 from carrel.llm.decontaminate import contaminated_spans
-from carrel.llm.dedup import near_duplicates
+from carrel.llm.dedup import near_duplicates, only
 from carrel.llm.mixing import mix
 from carrel.llm.quality import corpus_model, scored
 from carrel.llm.secrets import redacted
@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(near_duplicates(docs).select("doc_id", "component_id"), "pipeline-components")
     # Only ids meet the texts. A null doc_id drops nothing, as no row can be told by it.
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    kept = only(docs.select(*COLUMNS), gone, "doc_id", "left_anti")
     again = written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
     if again.isEmpty():
         return kept
