@@ -54,30 +54,61 @@ CLOSES = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "
 #: How far the tag that closes a p or li is looked for.
 WALLS = frozenset("article main section div nav header footer aside form table ul ol dl body html td th".split())
 
-#: No part can be matched in two ways, and a tag ends at the next one, so a broken page costs no more than its length.
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}'|[\"'])*+)>|<[!?][^<>]*+>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-ROLE_MAIN = re.compile(r"(?:^|\s)role\s*=\s*[\"']?main\b", re.I)
+#: A comment, the start of a tag or a declaration. No part can be matched in two ways.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)|<[!?][^<>]*+>", re.S)
+#: Up to the end of a tag, the next tag or a quoted value, and the start of the latter. A quote elsewhere is a character like others.
+UNQUOTED = re.compile(r"(?:[^<>=]++|=(?!\s*+[\"']))*+")
+OPENING = re.compile(r"=\s*+[\"']")
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+ROLE_MAIN = re.compile(r"main\b", re.I)
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def dropped(name: str, attributes: str, in_main: bool) -> bool:
+def tag_end(html: str, at: int, failed: set[int]) -> int:
+    """Where the ">" of a tag is whose name ends at ``at``, or -1 if the next tag or the end of the page comes first.
+
+    Quoted values are read to their closing quote, whatever their length and content; a quote that is never closed is a character like others. failed has the quotes
+    from which no end was found: none is read from twice in vain, so a broken page costs no more than its length.
+    """
+    seen = []
+    while True:
+        at = UNQUOTED.match(html, at).end()
+        m = OPENING.match(html, at)
+        if m is None:
+            if html[at : at + 1] == ">":
+                return at
+            break
+        at = m.end()
+        if at in failed:
+            break
+        seen.append(at)
+        at = max(at, html.find(html[at - 1], at) + 1)
+    failed.update(seen)
+    return -1
+
+
+def attributes_of(text: str) -> list[tuple[str, str]]:
+    """(name in lower case, value) of the attributes of a tag."""
+    return [(k.lower(), "".join(v).strip()) for k, *v in ATTRIBUTE.findall(text)]
+
+
+def dropped(name: str, attributes: list[tuple[str, str]], in_main: bool) -> bool:
     """Whether an element's content is not the article's."""
     if name in DROP or name == "header" and not in_main:
         return True
-    if not attributes.strip():
-        return False
-    for k, *v in ATTRIBUTE.findall(attributes):
-        value = next((x for x in v if x), "")
-        k = k.lower()
-        if k == "role" and value.strip().lower() in DROP_ROLES:
+    for k, value in attributes:
+        if k == "role" and value.lower() in DROP_ROLES:
             return True
         if k in ("class", "id") and name not in ("html", "body") and (in_main or name not in MAIN) and DROP_WORDS & set(WORDS.findall(CAMEL.sub(" ", value).lower())):
             return True
-        if k == "aria-hidden" and value.strip().lower() == "true":
+        if k == "aria-hidden" and value.lower() == "true" or k == "hidden":
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
+    return False
+
+
+def is_main(name: str, attributes: list[tuple[str, str]]) -> bool:
+    return name in MAIN or any(k == "role" and ROLE_MAIN.match(value) for k, value in attributes)
 
 
 def blocks(html: str) -> list[tuple[str, str]]:
@@ -100,17 +131,24 @@ def blocks(html: str) -> list[tuple[str, str]]:
         drops, mains = drops - d, mains - m
 
     at = 0
+    failed: set[int] = set()
     while at < len(html):
         m = TAG.search(html, at)
         if m is None:
             text.append(html[at:])
             break
+        end = tag_end(html, m.end(), failed) if m[2] else m.end()
+        if end < 0:  # no tag
+            text.append(html[at : m.end()])
+            at = m.end()
+            continue
         if m.start() > at:
             text.append(html[at : m.start()])
-        at = m.end()
-        name = m[2].lower() if m[2] else ""
-        if not name:
+        at = end
+        if not m[2]:
             continue
+        name, rest = m[2].lower(), html[m.end() : end]
+        at += 1
         if name in BLOCKS:
             flush()
         if m[1]:
@@ -125,7 +163,7 @@ def blocks(html: str) -> list[tuple[str, str]]:
             continue
         if name == "br":
             text.append(" ")
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or rest.endswith("/"):
             continue
         if name in UNSEEN:
             if name == "head":
@@ -146,10 +184,11 @@ def blocks(html: str) -> list[tuple[str, str]]:
                     break
             if name not in BLOCKS:
                 flush()
-            d, a = dropped(name, m[3], mains > 0), name in MAIN or bool(ROLE_MAIN.search(m[3]))
+            attributes = attributes_of(rest)
+            d, a = dropped(name, attributes, mains > 0), is_main(name, attributes)
             stack.append((name, d, a))
             drops, mains = drops + d, mains + a
-        elif dropped(name, m[3], mains > 0):  # an inline element
+        elif dropped(name, attributes_of(rest), mains > 0):  # an inline element
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = end.end() if end is not None else at
     flush()

@@ -408,6 +408,30 @@ def test_blocks_and_roles():
     assert html.blocks("") == [] and html.blocks("a < b <p") == [("open", "a < b <p")] and html.blocks("<script>x") == []
 
 
+def test_quoted_values_of_any_length():
+    uri = "data:image/png;base64," + "Ab3/" * 25_000
+    page = f"""<body><article data-json='{{"x": "<p>a > b</p>{"z" * 9000}"}}' title="it's"><p>one <img src="{uri}" alt="a > b"> two</p><p class="x" srcset='{uri} 2x'>three "quoted" it's</p></article>
+      <div data-json="{"<article>role=main class=ad hidden" * 300}">open</div>"""
+    assert html.blocks(page) == [("main", "one two"), ("main", "three \"quoted\" it's"), ("open", "open")]
+    assert html.blocks("<p title=don't>a</p><p title=can't>b</p><p title=\"x\"\">c</p><p>d</p>") == [("open", x) for x in "abcd"]
+    assert html.blocks("<p title=\"x>a</p><p>b") == [("open", "a"), ("open", "b")]
+
+
+@pytest.mark.parametrize("part", ["<a ='", "<a =\" <a ='", "<a=\" =\"", "<a x=\"<a\" ", "<p " + "a" * 40, "<a \"", "<a = ", "<a x='\"' "])
+def test_broken_tags_cost_their_length(part):
+    import time
+
+    def seconds(n):
+        page, begin = part * (n // len(part)), time.process_time()
+        html.blocks(page)
+        return time.process_time() - begin
+
+    assert seconds(800_000) < 10 * seconds(200_000) + 0.2
+    begin = time.process_time()
+    html.blocks("<p data-2=\"" + "a" * 400_000 + "\">x</p>")
+    assert time.process_time() - begin < 2
+
+
 def test_host_suffix_array(spark):
     r = random.Random(10)
     foot = "all rights reserved by the owners of this very fine site"
