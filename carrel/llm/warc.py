@@ -4,7 +4,7 @@ Writer: one gzip member per record. Of pages with equal payloads the one with th
 as revisits that refer to it. Tasks write archives of bounded size into the shared folder under names of their own and report
 (path, length); only reported files are read, so files of lost attempts do no harm.
 
-Reader: files are cut into byte ranges. A task looks for gzip magic in its range, decodes the header of each candidate member, and
+Reader: files are cut into byte ranges. A task looks for gzip magic in its range, decodes the header (of any length) of each candidate member, and
 takes it as a record only if it begins with a WARC version line, parses and decodes whole to the stated length. The first one of a range must also be
 followed by ``CHAIN`` such members or the end of the file, so that members inside a record are not mistaken for records; from there each record ends where the next
 begins, and the start of a file needs no such proof. A task owns the records that start inside its range and reads past the end of it to finish the last one.
@@ -37,8 +37,10 @@ SPLIT_BYTES = 8 << 20
 BLOCK = 1 << 20
 #: Members that must follow the first one found in a range.
 CHAIN = 4
-#: A WARC header must end within this many bytes.
-HEADER_BYTES = 1 << 16
+VERSION = re.compile(rb"WARC/1\.\d\r\n")
+VERSION_BYTES = len("WARC/1.1\r\n")
+#: Compressed bytes of a read while a header is looked for.
+HEADER_READ = 1 << 14
 
 
 def filesystem(path: str):
@@ -108,7 +110,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
 def header_of(data: bytes) -> dict[str, str] | None:
     """The fields of a WARC header at the start of data, or None."""
-    if not re.match(rb"WARC/1\.\d\r\n", data):
+    if not VERSION.match(data):
         return None
     end = data.find(b"\r\n\r\n")
     if end < 0:
@@ -130,28 +132,30 @@ class Member:
         self.f, self.at, self.size, self.pos, self.z = f, at, size, at, zlib.decompressobj(31)
 
     def header(self) -> bool:
-        """Whether the member begins like a WARC record."""
-        return header_of(self.some(HEADER_BYTES)) is not None
+        """Whether the member begins like a WARC record: a version line, then a header of any length."""
+        data = bytearray()
+        for part in self.parts(HEADER_READ):
+            seen = len(data)
+            data += part
+            if len(data) >= VERSION_BYTES and not VERSION.match(data):
+                return False
+            if data.find(b"\r\n\r\n", max(0, seen - 3)) >= 0:
+                break
+        return header_of(bytes(data)) is not None
 
-    def some(self, most: int | None = None) -> bytes:
-        """Up to most decoded bytes from the start, or all; empty if it does not decode."""
-        out = []
-        n = 0
+    def parts(self, step: int) -> Iterator[bytes]:
+        """The decoded member, a read of step compressed bytes at a time; it ends early where it does not decode."""
         try:
-            while not self.z.eof and self.pos < self.size and (most is None or n < most):
-                data = self.f.read_at(min(BLOCK if most is None else 1 << 14, self.size - self.pos), self.pos)
+            while not self.z.eof and self.pos < self.size:
+                data = self.f.read_at(min(step, self.size - self.pos), self.pos)
                 self.pos += len(data)
-                out.append(self.z.decompress(data))
-                n += len(out[-1])
-                if most is not None and b"\r\n\r\n" in out[-1]:
-                    break
+                yield self.z.decompress(data)
         except zlib.error:
-            return b""
-        return b"".join(out)
+            return
 
     def whole(self) -> tuple[bytes, int] | None:
         """The decoded member and the offset after it."""
-        data = self.some()
+        data = b"".join(self.parts(BLOCK))
         return (data, self.pos - len(self.z.unused_data)) if self.z.eof else None
 
 

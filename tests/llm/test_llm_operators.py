@@ -300,6 +300,17 @@ def test_warc_round_trip(spark, split_bytes):
             assert x.refers_to == largest[texts[x.page_id] if x.page_id is not None else "same"]
 
 
+@pytest.mark.parametrize("split_bytes", [5000, 1 << 20])
+def test_warc_keeps_records_with_long_urls(spark, split_bytes):
+    r = random.Random(7)
+    url = lambda n: "http://h/" + "".join(chr(r.randrange(0x21, 0x2FF)) for _ in range(n)).replace("\x7f", "") + "\r\n\r\nend"
+    pages = [(i, url(200_000) if i in (3, 6) else f"http://h/{i}", f"page {i}" + "".join(r.choice("abc") for _ in range(3000))) for i in range(12)]
+    manifest = written(warc.write_archives(spark.createDataFrame(pages, PAGES).repartition(1), scratch(spark, "w")), "m")
+    got = warc.read_archives(manifest, split_bytes).collect()
+    assert sorted((x.page_id, x.html) for x in got) == sorted((i, h) for i, _, h in pages)
+    assert all(len(x.url) > 190_000 and x.url.endswith("%0D%0A%0D%0Aend") for x in got if x.page_id in (3, 6))
+
+
 def test_warc_resists_false_members(tmp_path):
     """gzip members inside a stored record, and damage between records, are not taken for records."""
     import zlib as z
