@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,11 +38,31 @@ def nearest(df: DataFrame, query: Sequence[float], k: int, key: str, vector: str
 def nearest_batch(df: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "embedding", most_queries: int = 10_000, metric: str = "l2") -> DataFrame:
     """(query_id, key, distance, rank, score): the k rows nearest to each of a stated set of queries, which is counted first.
 
-    Queries travel as a broadcast list; a larger set is sent in blocks by the caller. Each task keeps its k best of a query before the shuffle (the planner's
+    Queries travel as a broadcast list; a larger set is sent in blocks by ``nearest_blocks``. Each task keeps its k best of a query before the shuffle (the planner's
     group limit below the window), so what moves is tasks * queries * k rows.
     """
     if queries.count() > most_queries:
         raise ValueError(f"more than {most_queries} queries; send them in blocks")
+    return _nearest_block(df, queries, k, key, query_key, vector, metric)
+
+
+def nearest_blocks(df: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "embedding", block: int = 10_000, metric: str = "l2") -> DataFrame:
+    """``nearest_batch`` for any number of queries: dealt by the hash of their id into as few blocks as hold about ``block`` at most, each in a scan of its own.
+
+    Rows that share an id are in one block, so the result is that of one batch.
+    """
+    n = queries.count()
+    if n <= block:
+        return _nearest_block(df, queries, k, key, query_key, vector, metric)
+    blocks = -(-n // block)
+    place = F.pmod(F.xxhash64(query_key), F.lit(blocks))
+    parts = [_nearest_block(df, queries.filter(place == i), k, key, query_key, vector, metric) for i in range(blocks)]
+    while len(parts) > 1:  # in pairs, as a long chain would be a deep plan
+        parts = [reduce(DataFrame.unionByName, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+def _nearest_block(df: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str, metric: str) -> DataFrame:
     asked = queries.agg(F.collect_list(F.struct(F.col(query_key).alias("query_id"), F.col(vector).alias("v"))).alias("asked"))
     pairs = df.join(F.broadcast(asked)).select(F.col(key), F.col(vector).alias("x"), F.explode("asked").alias("q"))
     pairs = pairs.select("q.query_id", key, distance(F.col("x"), F.col("q.v"), metric).alias("distance")).filter(F.col("distance").isNotNull())

@@ -66,7 +66,7 @@ def vector_topk_cosine(spark, sf_dir):
   FROM embeddings e, (SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5""")
 def vector_topk_batch(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return search.nearest_batch(e, e.filter("vec_id % 20 = 0"), 5, "vec_id", "vec_id")
+    return search.nearest_blocks(e, e.filter("vec_id % 20 = 0"), 5, "vec_id", "vec_id")
 
 
 _QUERY_WORDS = ", ".join(f"'{w}'" for w in QUERY_TEXT.split())

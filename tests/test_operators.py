@@ -89,6 +89,22 @@ def test_batch_search_equals_single(spark):
         search.nearest_batch(e, e, 4, "vec_id", "vec_id", most_queries=10)
 
 
+@pytest.mark.parametrize("block", [1, 7, 20, 60])
+def test_blocks_of_queries_equal_one_batch(spark, block):
+    e = spark.createDataFrame([(i, [float(i % 7), float(i * i % 11)]) for i in [*range(60), 5]], "vec_id long, embedding array<float>")
+    shown = lambda d: sorted((r.query_id, r.rank, r.distance, r.vec_id, r.score) for r in d.collect())
+    queries = e.filter("vec_id < 20 and vec_id != 5")
+    assert shown(search.nearest_blocks(e, queries, 3, "vec_id", "vec_id", block=block)) == shown(search.nearest_batch(e, queries, 3, "vec_id", "vec_id"))
+
+
+def test_registered_batch_has_no_most_queries(spark, tmp_path):
+    from carrel.plans.queries import vector_topk_batch
+
+    e = spark.range(201_000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"), F.lit(0).alias("label"))
+    e.write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert "query_id" in vector_topk_batch(spark, str(tmp_path)).columns  # planned, not run: 10,050 x 201,000 distances
+
+
 def test_catalog(cat, spark, tmp_path):
     t = {r.cid: r for r in catalog.typed_view(cat).drop("metadata").collect()}
     assert t["c1"].disease_tags == ["Stroke", "Cancer"] and str(t["c1"].price_eth) == "0.100000000000000000" and t["c1"].encrypted and t["c3"].file_size is None
