@@ -6,7 +6,7 @@ visits only branches that differ, which locates edits.
 
 The fingerprint is the root and, after a colon, a sketch: the ``SKETCH`` least distinct hashes (8 hexadecimal digits each) of the pieces of
 the text, runs of up to four words that end early at punctuation. The likeness of two fingerprints is the share of the least hashes of both
-sketches together that are in both (an estimate of the Jaccard similarity; exact up to ``SKETCH`` pieces).
+sketches together that are in both (an estimate of the Jaccard similarity; exact while both texts together have at most ``SKETCH`` pieces).
 
 ``with_next`` finds each document's successor in descending doc_id without a global sort in one task: distinct ids are range partitioned, written, ordered within
 their part, and the parts' first ids (one row each) tie the parts. The successor sends only the text that is asked for.
