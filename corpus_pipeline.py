@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 columns of documents.
 
 1. quality: documents that the classifier scores below ``REJECT`` go. It learns from the labels' training fold.
-2. near_dedup: one document of each component of near duplicates stays, the one with the smallest doc_id (five-word shingles, similarity 0.8). Of rows that share
-   a doc_id the one whose columns sort first stays.
+2. near_dedup: one row of each component of near duplicates stays, the one with the smallest doc_id, nulls last, and then the one whose other columns sort first
+   (five-word shingles, similarity 0.8). Rows count by themselves where they share a doc_id or have none; of rows with the same doc_id and text one stays.
 3. decontaminate: documents that share a window of 10 words with a benchmark item go.
 4. secrets: found spans are replaced by a mark in the text, and n_chars is counted again; no document goes.
 5. mix: the word targets of the sources that are left and how many words of each document the mix takes.
@@ -35,15 +35,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = written(near_duplicates(docs).select("doc_id", "component_id"), "pipeline-components")
-    # Only ids meet the texts. A null doc_id drops nothing, as no row can be told by it.
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = only(docs.select(*COLUMNS), gone, "doc_id", "left_anti")
-    again = written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
-    if again.isEmpty():
-        return kept
-    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
-    return kept.join(again, "doc_id", "left_anti").unionByName(one)
+    docs = docs.select(*COLUMNS)
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        found = written(near_duplicates(docs).select("doc_id", "component_id"), "pipeline-components")
+        # Only ids meet the texts.
+        return only(docs, found.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
+    rows = keyed(docs)
+    found = written(near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select("doc_id", "component_id"), "pipeline-components")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("row")).unionByName(again(rows)).distinct()
+    return only(rows, gone, "row", "left_anti").select(*COLUMNS)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number of their own for each row, in the order of doc_id (nulls last), then of the other columns; written, so that the numbers stay."""
+    order = [F.col("doc_id").asc_nulls_last(), *COLUMNS[1:]]
+    d = docs.withColumn("place", F.monotonically_increasing_id())
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.repartitionByRange(parts, order[0], *COLUMNS[1:], "place")
+    return written(d.sortWithinPartitions(*order, "place").drop("place").withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def again(rows: DataFrame) -> DataFrame:
+    """row of the rows that repeat the doc_id and text of an earlier one; near_duplicates links no texts without words."""
+    r = rows.filter("doc_id IS NOT NULL").select("row", "doc_id", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("null")).alias("digest"))
+    first = r.groupBy("doc_id", "digest").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return r.join(first, ["doc_id", "digest"]).filter("row > first").select("row")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

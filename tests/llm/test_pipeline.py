@@ -45,6 +45,16 @@ def test_stages_take_effect(spark, tmp_path):
     assert all(x.size == words[x.doc_id] and x.taken <= 2 * x.size for x in out) and abs(sum(x.taken for x in out) / sum(words.values()) - 1.5) < 0.02
 
 
+def test_near_dedup_drops_rows_not_ids(spark):
+    r = random.Random(13)
+    a, b, c, d = (" ".join(f"w{r.randrange(5000)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, b + " end"), (4, c), (4, c), (5, None), (5, None), (5, ""), (None, d), (None, d), (None, d + " end"), (None, a), (None, None)]
+    doc = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = spark.createDataFrame([(i, t, "en", f"s{n}", n) for n, (i, t) in enumerate(rows)], doc).repartition(3)
+    got = sorted((str(x.doc_id), str(x.text)) for x in pipeline.near_dedup(spark, pipeline.written(frame, "rows"), "").collect())
+    assert got == sorted((str(i), str(t)) for i, t in [(1, a), (2, b), (4, c), (5, None), (5, ""), (None, d), (None, None)])
+
+
 def test_empty_tables_pass(spark, tmp_path):
     doc = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], doc).write.parquet(str(tmp_path / "documents.parquet"))
