@@ -1,7 +1,7 @@
 """HTML main-text extraction with a host suffix array.
 
 1. A tolerant scan of each page yields its visible blocks in order, each with a role from the markup: ``main`` (inside an article or main element or role), ``drop`` (menus, headers,
-   footers, sidebars, notices, adverts, forms, reader comments: by element, role or class words) or ``open`` (undecided). Scripts, styles and other unseen elements are not blocks.
+   footers, sidebars, notices, adverts, forms, reader comments: by element, role or class words; inside a main element by whole classes and the ids of reader comments only) or ``open`` (undecided). Scripts, styles and other unseen elements are not blocks.
 2. Outside the main elements, the tokens of each page's blocks are one stream; all streams of a host are ordered as the suffixes of one text: by host and first
    ``MIN_TOKENS`` tokens. Suffixes with equal first tokens in streams of distinct pages are a long repeated substring, so the tokens that they start are covered. (A
    longer repeat is the union of such runs, so nothing is lost by ordering on the first tokens only.) Pages with the same stream count as one.
@@ -37,7 +37,7 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template title textarea select option iframe object svg math canvas audio video head".split())
+UNSEEN = frozenset("script style noscript template title textarea select option iframe object svg canvas audio video head".split())
 #: Their content is text up to the end tag.
 RAW = frozenset("script style title textarea iframe noscript template".split())
 MAIN = frozenset(("article", "main"))
@@ -49,6 +49,9 @@ DROP_WORDS = frozenset(
     "subscription signup sidebar aside menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments reply replies respond disqus share sharing social related "
     "recommended widget pagination pager toolbar".split()
 )
+#: Ids that say so inside a main element, where others are anchors made from the article's own words.
+DROP_IDS = frozenset("comments disqus disqus_thread respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A new one ends an open one.
 CLOSES = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"})}
 #: How far the tag that closes a p or li is looked for.
@@ -100,7 +103,10 @@ def dropped(name: str, attributes: list[tuple[str, str]], in_main: bool) -> bool
     for k, value in attributes:
         if k == "role" and value.lower() in DROP_ROLES:
             return True
-        if k in ("class", "id") and name not in ("html", "body") and (in_main or name not in MAIN) and DROP_WORDS & set(WORDS.findall(CAMEL.sub(" ", value).lower())):
+        if in_main:
+            if k == "class" and DROP_WORDS & set(value.lower().split()) or k == "id" and name not in HEADINGS and value.lower() in DROP_IDS:
+                return True
+        elif k in ("class", "id") and name not in ("html", "body") and name not in MAIN and DROP_WORDS & set(WORDS.findall(CAMEL.sub(" ", value).lower())):
             return True
         if k == "aria-hidden" and value.lower() == "true" or k == "hidden":
             return True

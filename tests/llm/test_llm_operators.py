@@ -419,6 +419,15 @@ def test_blocks_and_roles():
     assert html.blocks("") == [] and html.blocks("a < b <p") == [("open", "a < b <p")] and html.blocks("<script>x") == []
 
 
+def test_articles_keep_sections_named_like_page_parts():
+    ids = ["social-effects", "related-work", "menu", "notice-period", "alert-levels", "adReplies"]
+    page = "<article>" + "".join(f"<section id={i}><h2 id=comments>{i}</h2><p class='menu-card'>p {i}</section>" for i in ids)
+    page += "<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<div class='wide advert'>buy</div><div class=newsletter>mail</div><div id=comments>first!</div></article><div id=related-work>more</div>"
+    found = html.blocks(page)
+    assert [t for r, t in found if r == "main"] == [t for i in ids for t in (i, f"p {i}")] + ["so x=2 holds"]
+    assert [t for r, t in found if r == "open"] == [] and html.blocks("<div class=related-work>more</div>") == [("drop", "more")]
+
+
 def test_quoted_values_of_any_length():
     uri = "data:image/png;base64," + "Ab3/" * 25_000
     page = f"""<body><article data-json='{{"x": "<p>a > b</p>{"z" * 9000}"}}' title="it's"><p>one <img src="{uri}" alt="a > b"> two</p><p class="x" srcset='{uri} 2x'>three "quoted" it's</p></article>
