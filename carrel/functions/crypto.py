@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from carrel.functions.binding import let
+
 KB, MB, GB = 1 << 10, 1 << 20, 1 << 30
 #: The separators of the chunked format.
 CHUNK_SEPARATOR = "|CHUNK_SEPARATOR|"
@@ -25,27 +27,27 @@ def is_chunked_size(n: Column) -> Column:
 
 
 def _derived(password: Column, salt: Column) -> Column:
-    """48 bytes of key and initial vector: a chain of MD5 over the last hash, password and salt."""
-    a = F.unhex(F.md5(F.concat(password, salt)))
-    b = F.unhex(F.md5(F.concat(a, password, salt)))
-    return F.concat(a, b, F.unhex(F.md5(F.concat(b, password, salt))))
+    """48 bytes of key and initial vector: a chain of MD5 over the last hash, password and salt. Each link is worked out once."""
+    link = lambda *before: F.unhex(F.md5(F.concat(*before, password, salt)))
+    return let(link(), lambda a: let(link(a), lambda b: F.concat(a, b, link(b))))
 
 
 def encrypt(text: Column, passphrase: str, salt: Column) -> Column:
     """base64 of Salted__, 8 bytes of salt and AES-256-CBC of the text. The salt must differ from row to row."""
-    key = _derived(F.lit(passphrase).cast("binary"), salt)
-    sealed = F.aes_encrypt(text.cast("binary"), F.substring(key, 1, 32), F.lit("CBC"), F.lit("PKCS"), F.substring(key, 33, 16))
-    return F.base64(F.concat(F.lit("Salted__").cast("binary"), salt, F.substring(sealed, 17, 2147483647)))
+    sealed = lambda key: F.aes_encrypt(text.cast("binary"), F.substring(key, 1, 32), F.lit("CBC"), F.lit("PKCS"), F.substring(key, 33, 16))
+    return let(salt, lambda s: F.base64(F.concat(F.lit("Salted__").cast("binary"), s, F.substring(let(_derived(F.lit(passphrase).cast("binary"), s), sealed), 17, 2147483647))))
 
 
 def decrypt(blob: Column, passphrase: str) -> Column:
     """The text of encrypt() or of any blob in that format; null where it cannot be opened."""
-    raw = F.try_to_binary(blob, F.lit("base64"))
-    salt = F.substring(raw, 9, 8)
-    key = _derived(F.lit(passphrase).cast("binary"), salt)
-    sealed = F.concat(F.substring(key, 33, 16), F.substring(raw, 17, 2147483647))
-    opened = F.try_aes_decrypt(sealed, F.substring(key, 1, 32), F.lit("CBC"), F.lit("PKCS"))
-    return F.when(F.substring(raw, 1, 8) == F.lit("Salted__").cast("binary"), opened).cast("string")
+
+    def opened(raw: Column, key: Column) -> Column:
+        sealed = F.concat(F.substring(key, 33, 16), F.substring(raw, 17, 2147483647))
+        text = F.try_aes_decrypt(sealed, F.substring(key, 1, 32), F.lit("CBC"), F.lit("PKCS"))
+        return F.when(F.substring(raw, 1, 8) == F.lit("Salted__").cast("binary"), text).cast("string")
+
+    with_key = lambda raw: let(_derived(F.lit(passphrase).cast("binary"), F.substring(raw, 9, 8)), lambda key: opened(raw, key))
+    return let(F.try_to_binary(blob, F.lit("base64")), with_key)
 
 
 def is_chunked(blob: Column) -> Column:

@@ -9,6 +9,8 @@ from typing import Protocol
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from carrel.functions.binding import let
+
 
 def literal(v: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in v])
@@ -60,7 +62,12 @@ class HashingEmbedder:
     def column(self, text: Column) -> Column:
         words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9]+"), F.lit(0))
         at = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % self.dim).cast("int"))
-        return F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: (F.size(at) - F.size(F.array_remove(at, i))).cast("double"))
+        if self.dim > 256:
+            return let(at, lambda b: F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: (F.size(b) - F.size(F.array_remove(b, i))).cast("double")))
+        # a bucket is a character; it holds as many words as taking its character away shortens the string
+        signs = F.array(*[F.lit(chr(i)) for i in range(self.dim)])
+        left = lambda s, x: F.length(F.replace(s, x, F.lit("")))
+        return let(F.array_join(F.transform(at, F.char), ""), lambda s: F.transform(signs, lambda x: (F.length(s) - left(s, x)).cast("double")))
 
     def vector(self, text: str) -> list[float]:
         import re

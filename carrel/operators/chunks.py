@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carrel.functions.binding import let
 from carrel.functions.crypto import decrypt, encrypt, header, is_chunked, read_header, stream, stream_chunks
 
 
@@ -32,9 +33,14 @@ def sealed(text: Column, key: Column, passphrase: str, size: int) -> Column:
 
 def opened(blob: Column, passphrase: str) -> Column:
     """The text of a blob in either format, told apart by its separators; null if it cannot be opened or a chunk is missing."""
-    parts = F.transform(stream_chunks(blob), lambda c: decrypt(c, passphrase))
-    whole = F.size(stream_chunks(blob)) == read_header(blob)["totalChunks"]
-    many = F.when(whole & ~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, ""))
     # one chunk has no separator between chunks; its header still tells
-    one = F.coalesce(read_header(blob)["totalChunks"] == 1, F.lit(False))
-    return F.when(is_chunked(blob) | one, many).otherwise(decrypt(blob, passphrase))
+    total = read_header(blob)["totalChunks"]
+    whole = lambda parts, n: F.when((F.size(parts) == n) & ~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, ""))
+    many = lambda n: let(F.transform(stream_chunks(blob), lambda c: decrypt(c, passphrase)), lambda parts: whole(parts, n))
+    return let(total, lambda n: F.when(is_chunked(blob) | F.coalesce(n == 1, F.lit(False)), many(n)).otherwise(decrypt(blob, passphrase)))
+
+
+def total_bytes(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, n_chunks, total_bytes) of chunks (key, data): partial sums, no text leaves its task."""
+    size = F.octet_length(F.coalesce("data", F.lit(""))).cast("long")
+    return chunks.groupBy(key).agg(F.count("*").alias("n_chunks"), F.sum(size).alias("total_bytes"))

@@ -55,8 +55,25 @@ def balances(credits: DataFrame) -> DataFrame:
     return c.groupBy("owner").agg(F.sum(F.when(after, F.col("amount")).otherwise(zero)).alias("balance"), F.sum(F.when(after, zero).otherwise(F.col("amount"))).alias("withdrawn"))
 
 
+def listed(events: DataFrame, period: Column | None = None) -> DataFrame:
+    """(owner, place, doc): what each actor listed, a row for each listing, numbered in order from 1, repeats kept.
+
+    With a period (a coarse time that never falls as seq rises) rows are numbered within a period and start from the count of the earlier ones, so an owner with a large part of
+    all listings is spread over its periods.
+    """
+    e = events.filter(F.col("kind") == "list").select(F.col("actor").alias("owner"), "seq", "doc", (F.lit(0) if period is None else period).alias("_period"))
+    place = F.row_number().over(Window.partitionBy("owner", "_period").orderBy("seq")).cast("long")
+    if period is None:
+        return e.select("owner", place.alias("place"), "doc")
+    before = Window.partitionBy("owner").orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+    counts = e.groupBy("owner", "_period").agg(F.count("*").alias("_n")).select("owner", "_period", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    c = counts.select(F.col("owner").alias("_o"), F.col("_period").alias("_p"), "_before")
+    e = e.withColumn("place", place).join(c, F.col("owner").eqNullSafe(F.col("_o")) & F.col("_period").eqNullSafe(F.col("_p")))
+    return e.select("owner", (F.col("place") + F.col("_before")).alias("place"), "doc")
+
+
 def listings(events: DataFrame) -> DataFrame:
-    """(owner, docs array): what each actor listed, in order, repeats kept."""
+    """(owner, docs array); for owners whose listings fit one row, see ``listed`` for others: what each actor listed, in order, repeats kept."""
     e = events.filter(F.col("kind") == "list").groupBy("actor").agg(F.array_sort(F.collect_list(F.struct("seq", "doc"))).alias("x"))
     return e.select(F.col("actor").alias("owner"), F.transform("x", lambda r: r["doc"]).alias("docs"))
 

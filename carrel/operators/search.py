@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from carrel.functions.vector import Embedder, distance, literal, score
 from carrel.operators.predicates import blanks_dropped, predicate
@@ -31,43 +36,98 @@ def nearest(df: DataFrame, query: Sequence[float], k: int, key: str, vector: str
     """The k rows nearest to one query, with distance and score; ties by key. Sorting and limit fuse to a top-k per task."""
     if k <= 0:
         raise ValueError("k must be positive")
-    found = filtered(df, filters).withColumn("distance", distance(F.col(vector), literal(query), metric)).filter(F.col("distance").isNotNull())
-    return found.orderBy("distance", key).limit(k).withColumn("score", score(F.col("distance")))
+    found = filtered(df, filters).withColumn("distance", distance(F.col(vector), literal(query), metric))
+    # rows without a distance sort last and go after the limit: a filter below it would be pushed down and work the distance out twice
+    found = found.orderBy(F.col("distance").asc_nulls_last(), key).limit(k).filter(F.col("distance").isNotNull())
+    return found.withColumn("score", score(F.col("distance")))
 
 
-def nearest_batch(df: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "embedding", most_queries: int = 10_000, metric: str = "l2") -> DataFrame:
-    """(query_id, key, distance, rank, score): the k rows nearest to each of a stated set of queries, which is counted first.
+def nearest_batch(df: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "embedding", block: int = 10_000, metric: str = "l2") -> DataFrame:
+    """(query_id, key, distance, rank, score): the k rows nearest to each of a stated set of queries; ties by key. Null vectors, and those of another length, are near to nothing.
 
-    Queries travel as a broadcast list; a larger set is sent in blocks by ``nearest_blocks``. Each task keeps its k best of a query before the shuffle (the planner's
-    group limit below the window), so what moves is tasks * queries * k rows.
+    Queries are counted first and sent to the executors in blocks of about ``block``, dealt by the hash of their id, each in a scan of its own (rows that share an id are in one block).
+    Distances are worked out in Arrow batches, the same sums in the same order as ``distance``. A task keeps its k best of a query before the shuffle, so what moves is
+    tasks * queries * k rows.
     """
-    if queries.count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries; send them in blocks")
-    return _nearest_block(df, queries, k, key, query_key, vector, metric)
-
-
-def nearest_blocks(df: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "embedding", block: int = 10_000, metric: str = "l2") -> DataFrame:
-    """``nearest_batch`` for any number of queries: dealt by the hash of their id into as few blocks as hold about ``block`` at most, each in a scan of its own.
-
-    Rows that share an id are in one block, so the result is that of one batch.
-    """
-    n = queries.count()
-    if n <= block:
-        return _nearest_block(df, queries, k, key, query_key, vector, metric)
-    blocks = -(-n // block)
-    place = F.pmod(F.xxhash64(query_key), F.lit(blocks))
-    parts = [_nearest_block(df, queries.filter(place == i), k, key, query_key, vector, metric) for i in range(blocks)]
+    if k <= 0:
+        raise ValueError("k must be positive")
+    if metric not in ("l2", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}")
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(query_key).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-asked.count() // block))
+    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [_nearest_block(df, asked if blocks == 1 else asked.filter(place == i), k, key, vector, metric) for i in range(blocks)]
     while len(parts) > 1:  # in pairs, as a long chain would be a deep plan
         parts = [reduce(DataFrame.unionByName, parts[i : i + 2]) for i in range(0, len(parts), 2)]
-    return parts[0]
+    ranked = parts[0].withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key)))
+    return ranked.filter(F.col("rank") <= k).withColumn("score", score(F.col("distance")))
 
 
-def _nearest_block(df: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str, metric: str) -> DataFrame:
-    asked = queries.agg(F.collect_list(F.struct(F.col(query_key).alias("query_id"), F.col(vector).alias("v"))).alias("asked"))
-    pairs = df.join(F.broadcast(asked)).select(F.col(key), F.col(vector).alias("x"), F.explode("asked").alias("q"))
-    pairs = pairs.select("q.query_id", key, distance(F.col("x"), F.col("q.v"), metric).alias("distance")).filter(F.col("distance").isNotNull())
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key)))
-    return ranked.filter(F.col("rank") <= k).withColumn("score", score(F.col("distance")))
+def _nearest_block(df: DataFrame, asked: DataFrame, k: int, key: str, vector: str, metric: str) -> DataFrame:
+    """(query_id, key, distance): for each task and query of one block the k nearest rows."""
+    spark = df.sparkSession
+    rows = asked.collect()  # a block at most
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for n in sorted({len(r["v"]) for r in rows}):
+        mine = [i for i, r in enumerate(rows) if len(r["v"]) == n]
+        by_size[n] = np.array(mine), np.array([rows[i]["v"] for i in mine], float).reshape(len(mine), n)
+    ids = pa.array([r["query_id"] for r in rows], to_arrow_type(asked.schema["query_id"].dataType))
+    shared = spark.sparkContext.broadcast((by_size, ids))
+    names = ["query_id", key, "distance"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, ids = shared.value
+        held: pa.Table | None = None
+        for batch in batches:
+            vectors = batch.column(vector)
+            sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+            new = [] if held is None else [held]
+            for n, (queries, q) in groups.items():
+                at = np.flatnonzero(sizes == n)
+                x = vectors.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), n)
+                for a in range(0, len(at) if n else 0, TILE):
+                    for b in range(0, len(q), TILE):
+                        d = distances(x[a : a + TILE], q[b : b + TILE], metric)
+                        rank = np.minimum(k, d.shape[0]) - 1
+                        limit = np.partition(np.where(np.isnan(d), np.inf, d), rank, axis=0)[rank]
+                        row, col = np.nonzero(d <= limit)  # ties at the limit are all kept
+                        new.append(pa.table([pa.array(queries[b + col]), batch.column(key).take(pa.array(at[a + row])), pa.array(d[row, col])], names=names))
+            if new:
+                held = best(pa.concat_tables(new), k, key)
+        if held is not None and held.num_rows:
+            yield from held.set_column(0, "query_id", ids.take(held.column("query_id").combine_chunks())).to_batches()
+
+    ddl = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField(key, df.schema[key].dataType), StructField("distance", DoubleType())])
+    return df.select(key, vector).mapInArrow(task, ddl)
+
+
+#: Rows and queries whose distances are worked out at once.
+TILE = 512
+
+
+def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows and queries; sums run from the first place to the last, as ``distance`` has them. nan where a cosine has a zero vector."""
+
+    def summed(a: np.ndarray, b: np.ndarray, f) -> np.ndarray:
+        out = f(a[..., 0], b[..., 0]) + 0.0
+        for j in range(1, a.shape[-1]):
+            out += f(a[..., j], b[..., j])
+        return out
+
+    if metric == "l2":
+        return summed(x[:, None], q[None], lambda a, b: (a - b) * (a - b))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        sizes = np.sqrt(summed(x, x, np.multiply))[:, None] * np.sqrt(summed(q, q, np.multiply))
+        return 1 - summed(x[:, None], q[None], np.multiply) / sizes
+
+
+def best(t: pa.Table, k: int, key: str) -> pa.Table:
+    """The rows of the k least (distance, key) of each query."""
+    t = t.take(pc.sort_indices(t, sort_keys=[(c, "ascending") for c in ("query_id", "distance", key)], null_placement="at_start"))
+    query = t.column("query_id").to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.zeros(0, int)
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return t.filter(pa.array(place < k))
 
 
 def shaped(df: DataFrame, id_col: str, cid: Column, summary: Column, metadata: Column, with_score: bool) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from carrel.functions import crypto, money, text, vector
 from carrel.operators import catalog, chunks, image, ledger, phi, search, uploads
-from carrel.session import table
+from carrel.session import spread, table
 from carrel.streaming.ledger import daily_credits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,7 +66,7 @@ def vector_topk_cosine(spark, sf_dir):
   FROM embeddings e, (SELECT vec_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5""")
 def vector_topk_batch(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return search.nearest_blocks(e, e.filter("vec_id % 20 = 0"), 5, "vec_id", "vec_id")
+    return search.nearest_batch(e, e.filter("vec_id % 20 = 0"), 5, "vec_id", "vec_id")
 
 
 _QUERY_WORDS = ", ".join(f"'{w}'" for w in QUERY_TEXT.split())
@@ -78,7 +78,7 @@ s AS (SELECT doc_id, list_sum(list_transform(range(64), lambda i: (len(list_filt
   * (len(list_filter(d.b, lambda x: x = i)) - len(list_filter(q.b, lambda x: x = i)))::DOUBLE)) AS distance FROM d, q)
 SELECT doc_id, distance, 1 / (1 + distance) AS score FROM s ORDER BY distance, doc_id LIMIT 5""")
 def text_topk(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return search.search(d, QUERY_TEXT, embedder=vector.HashingEmbedder(), text="text", key="doc_id").select("doc_id", "distance", "score")
 
 
@@ -190,7 +190,7 @@ def preview_head(spark, sf_dir):
 
 
 def composed(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     tags = F.when(F.col("doc_id") % 3 != 0, F.concat_ws(", ", F.col("lang"), F.col("source")))
     return d.select("doc_id", text.compose(F.concat_ws(" ", "source", F.col("doc_id").cast("string")), F.col("text"), tags).alias("document"))
 
@@ -288,7 +288,7 @@ def ledger_earnings(spark, sf_dir):
 
 @query(f"""SELECT doc, count(*) AS purchases, count(*) FILTER (amount >= price) AS accepted, count(*) FILTER (owner IS NULL) AS unlisted FROM {_ASOF} WHERE kind = 'buy' GROUP BY doc""")
 def ledger_purchases(spark, sf_dir):
-    p = ledger.purchases(ledger_events(spark, sf_dir, True))
+    p = ledger.purchases(ledger_events(spark, sf_dir, True), F.trunc("seq.l_shipdate", "month"))
     return p.groupBy("doc").agg(F.count("*").alias("purchases"), F.count_if("accepted").alias("accepted"), F.count_if(F.col("owner").isNull()).alias("unlisted"))
 
 
@@ -303,20 +303,17 @@ def ledger_withdraw(spark, sf_dir):
     return ledger.balances(c)
 
 
-@query(f"""SELECT l_suppkey AS owner, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_partkey)) AS docs_sha
-  FROM lineitem GROUP BY 1""")
+@query("""SELECT l_suppkey AS owner, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_partkey) AS place, l_partkey AS doc FROM lineitem""")
 def ledger_my_docs(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").select(
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice").alias("seq"), F.lit("list").alias("kind"), F.col("l_partkey").alias("doc"), F.col("l_suppkey").alias("actor"))
-    m = ledger.listings(e)
-    return m.select("owner", F.size("docs").cast("long").alias("n"), F.sha2(F.array_join(F.transform("docs", lambda d: d.cast("string")), ",").cast("binary"), 256).alias("docs_sha"))
+    seq = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
+    e = table(spark, sf_dir, "lineitem").select(seq.alias("seq"), F.lit("list").alias("kind"), F.col("l_partkey").alias("doc"), F.col("l_suppkey").alias("actor"))
+    return ledger.listed(e, F.trunc("seq.l_shipdate", "month"))
 
 
 @query(f"""SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN '0.5' ELSE coalesce(CAST(price AS VARCHAR), 'Error') END AS price_text FROM part LEFT JOIN
-  (SELECT l_partkey, arg_max(CAST(l_extendedprice AS DECIMAL(18,2)), {_SEQ}) AS price FROM lineitem WHERE l_quantity > 25 GROUP BY 1) ON p_partkey = l_partkey""")
+  (SELECT l_partkey, arg_max(CAST(l_extendedprice AS DECIMAL(18,2)), {_SEQ}) AS price FROM lineitem GROUP BY 1) ON p_partkey = l_partkey""")
 def ledger_price_join(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").filter("l_quantity > 25")
-    e = l.select(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("seq"), F.lit("list").alias("kind"), F.col("l_partkey").alias("doc"),
+    e = table(spark, sf_dir, "lineitem").select(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("seq"), F.lit("list").alias("kind"), F.col("l_partkey").alias("doc"),
                  F.col("l_suppkey").alias("actor"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
     p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 10 == 0, F.lit("0.5")).otherwise(F.lit("")).alias("meta"))
     return ledger.with_prices(p, ledger.latest(e), "p_partkey", "meta").select("p_partkey", "price_text")
@@ -348,9 +345,10 @@ def chunk_roundtrip(spark, sf_dir):
 
 @query("SELECT doc_id, sha256(text) AS sha, TRUE AS hidden FROM documents")
 def aes_roundtrip(spark, sf_dir):
-    """Documents in the chunked encrypted format and back."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", chunks.sealed(F.col("text"), F.col("doc_id"), PASS, 4096).alias("blob"))
-    hidden = ~F.contains("blob", F.left(F.col("text"), F.lit(20)))
+    """Documents in the chunked encrypted format and back. hidden: the blob does not hold the text; a text of few letters may stand in it by chance."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = d.select("doc_id", "text", chunks.sealed(F.col("text"), F.col("doc_id"), PASS, 4096).alias("blob"))
+    hidden = ~F.contains("blob", F.col("text")) | (F.length("text") < 16)
     return d.select("doc_id", F.sha2(chunks.opened(F.col("blob"), PASS).cast("binary"), 256).alias("sha"), hidden.alias("hidden"))
 
 
@@ -359,11 +357,13 @@ def wallet_short(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.short_wallet(F.concat(F.lit(WALLET), F.col("c_custkey").cast("string"))).alias("wallet"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_distinct(string_split(text, ' ')[1:4]) AS x, string_split(text, ' ')[1:4] AS w FROM documents)
-SELECT doc_id, array_to_string(w[1:1] || w[3:], ', ') AS removed, CAST(len(x) + CASE WHEN list_contains(x, 'the') THEN 0 ELSE 1 END AS INT) AS n_added FROM t""")
+@query("""WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
+SELECT doc_id, sha256(array_to_string(w[1:1] || w[3:], ', ')) AS removed, CAST(len(list_distinct(w)) + CASE WHEN list_contains(w, 'the') THEN 0 ELSE 1 END AS INT) AS n_added FROM t""")
 def tags_ops(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 4).alias("w"))
-    return d.select("doc_id", text.joined_tags(uploads.tag_removed(F.col("w"), F.lit(1))).alias("removed"), F.size(uploads.tags_added(F.col("w"), F.lit("the"))).alias("n_added"))
+    """The words of a text play its tags."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    removed = F.sha2(text.joined_tags(uploads.tag_removed(F.col("w"), F.lit(1))).cast("binary"), 256)
+    return d.select("doc_id", removed.alias("removed"), F.size(uploads.tags_added(F.col("w"), F.lit("the"))).alias("n_added"))
 
 
 @query("""WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),

@@ -35,8 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bench_dir() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+#: Bytes of input for each core up to which ``spread`` moves rows.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan, for work that costs much for each row: a small input in fewer files than there are cores (a file of one row group is one task) is dealt over all of them.
+
+    A larger input, or one in more files, is left as it is, so nothing is shuffled that scans in parallel anyway.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * SPREAD_BYTES:
+        return df
+    return df.repartition(cores)
 
 
 _shipped: set[str] = set()

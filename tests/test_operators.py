@@ -85,8 +85,22 @@ def test_batch_search_equals_single(spark):
     for q in (0, 20, 40):
         v = e.filter(F.col("vec_id") == q).first().embedding
         assert [got[q][k] for k in range(1, 5)] == [r.vec_id for r in search.nearest(e, v, 4, "vec_id").collect()]
+    got = {}
+    for r in search.nearest_batch(e, e.filter("vec_id % 20 = 0"), 4, "vec_id", "vec_id", metric="cosine").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.distance))
+    assert 0 not in got  # a zero vector has no direction
+    v = e.filter("vec_id = 20").first().embedding
+    assert sorted(got[20]) == [(i, r.vec_id, r.distance) for i, r in enumerate(search.nearest(e, v, 4, "vec_id", metric="cosine").collect(), 1)]
+
+
+def test_batch_search_edges(spark):
+    ddl = "vec_id long, embedding array<float>"
+    e = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0]), (None, [1.0, 2.0]), (5, [])], ddl)
+    shown = lambda d: sorted((r.query_id, r.rank, r.vec_id) for r in d.collect())
+    assert shown(search.nearest_batch(e, e.filter("vec_id IS NOT NULL"), 5, "vec_id", "vec_id")) == [(1, 1, None), (1, 2, 1), (3, 1, 3)]
+    assert shown(search.nearest_batch(e.limit(0), e, 5, "vec_id", "vec_id")) == shown(search.nearest_batch(e, e.limit(0), 5, "vec_id", "vec_id")) == []
     with pytest.raises(ValueError):
-        search.nearest_batch(e, e, 4, "vec_id", "vec_id", most_queries=10)
+        search.nearest_batch(e, e, 0, "vec_id", "vec_id")
 
 
 @pytest.mark.parametrize("block", [1, 7, 20, 60])
@@ -94,15 +108,7 @@ def test_blocks_of_queries_equal_one_batch(spark, block):
     e = spark.createDataFrame([(i, [float(i % 7), float(i * i % 11)]) for i in [*range(60), 5]], "vec_id long, embedding array<float>")
     shown = lambda d: sorted((r.query_id, r.rank, r.distance, r.vec_id, r.score) for r in d.collect())
     queries = e.filter("vec_id < 20 and vec_id != 5")
-    assert shown(search.nearest_blocks(e, queries, 3, "vec_id", "vec_id", block=block)) == shown(search.nearest_batch(e, queries, 3, "vec_id", "vec_id"))
-
-
-def test_registered_batch_has_no_most_queries(spark, tmp_path):
-    from carrel.plans.queries import vector_topk_batch
-
-    e = spark.range(201_000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"), F.lit(0).alias("label"))
-    e.write.parquet(str(tmp_path / "embeddings.parquet"))
-    assert "query_id" in vector_topk_batch(spark, str(tmp_path)).columns  # planned, not run: 10,050 x 201,000 distances
+    assert shown(search.nearest_batch(e, queries, 3, "vec_id", "vec_id", block=block)) == shown(search.nearest_batch(e, queries, 3, "vec_id", "vec_id"))
 
 
 def test_catalog(cat, spark, tmp_path):
