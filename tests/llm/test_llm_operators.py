@@ -344,8 +344,8 @@ def test_mixing_meets_targets(spark):
     a, b = ([tuple(x) for x in mixing.mix(d.repartition(n)).orderBy("doc_id", "size", "taken").collect()] for n in (1, 7))
     assert a == b and len(a) == len(rows)
     per = {}
-    for _, source, size, total, target, _, taken in a:
-        assert 0 <= taken <= 2 * size
+    for _, source, size, total, target, copies, inclusion, taken in a:
+        assert 0 <= taken <= 2 * size and 0 <= inclusion < 1 and (inclusion > 0 or taken == copies * size)
         per.setdefault(source, [0, total, target, 0])
         per[source][0] += taken
         per[source][3] += size
@@ -354,6 +354,31 @@ def test_mixing_meets_targets(spark):
         assert total == size and target <= 2 * size and abs(took - target) <= 1
 
 
+@pytest.mark.parametrize(("exact", "steps"), [(10**6, 5), (3, 5), (1, 2)])
+def test_mixing_takes_the_least_ranks(spark, exact, steps):
+    """Against the method in plain Python: odds of a uniform number over odds of inclusion, which are in proportion to the size."""
+    r = random.Random(17)
+    sizes = {i: r.choice([0, 1, 2, 5, 30, 400]) for i in range(300)}
+    source = {i: "ab"[i % 3 == 0] for i in sizes}
+    rows = [(i, "w " * n, source[i]) for i, n in sizes.items()]
+    got = {x.doc_id: x for x in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), exact=exact, steps=steps).collect()}
+    for s in "ab":
+        mine = [i for i in sizes if source[i] == s]
+        total = sum(sizes[i] for i in mine)
+        target = got[mine[0]].target
+        copies, left = int(target // total), 0
+        left = round(target) - copies * total
+        u = {i: (int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in mine}
+        for i in sorted(mine, key=lambda i: ((u[i] / (1 - u[i])) / sizes[i] if sizes[i] else float("inf"), i)):
+            extra = max(0, min(sizes[i], left))
+            left -= extra
+            assert got[i].taken == copies * sizes[i] + extra and got[i].size == sizes[i]
+    # longer documents of a source are likelier
+    inclusion = {sizes[i]: got[i].inclusion for i in sizes if source[i] == "a"}
+    if max(inclusion.values()) > 0:
+        assert [inclusion[n] for n in sorted(inclusion)] == sorted(inclusion.values()) and inclusion[1] < inclusion[400]
+
+
 def test_mixing_edges(spark):
     ddl = "doc_id long, text string, source string"
     assert mixing.mix(spark.createDataFrame([], ddl)).count() == 0
