@@ -38,8 +38,8 @@ BATCH = 32
 MISS = 1e-6
 #: Ids or buckets (numbers) that are broadcast, counted first; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Shingles of a block of members that are compared in one task.
-BLOCK_TOKENS = 1 << 20
+#: Shingles and members of a block that is compared in one task.
+BLOCK_TOKENS, BLOCK_ROWS = 1 << 18, 512
 U = np.uint64
 
 
@@ -134,6 +134,21 @@ def only(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> Da
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, key, how)
 
 
+#: Parts that the rows of a key are dealt to where the other side of a join is too large to be broadcast.
+SALTS = 16
+
+
+def beside(df: DataFrame, one: DataFrame, key: str, by: str = "id") -> DataFrame:
+    """df with the columns of one, a frame of one row for each key at most (inner join). A key may hold any part of df: its rows are not dealt by the key alone.
+
+    Few rows of one are broadcast, counted first; more are repeated for each of ``SALTS`` parts, into which df's rows go by the hash of ``by``.
+    """
+    if one.count() <= BROADCAST_IDS:
+        return df.join(F.broadcast(one), key)
+    one = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(one, [key, "__salt"]).drop("__salt")
+
+
 def members(pairs: DataFrame) -> DataFrame:
     """The distinct ids in pairs(a, b)."""
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -211,8 +226,8 @@ def components(links: DataFrame, limit: int = 50) -> DataFrame:
 def leader_pairs(buckets: DataFrame, leaders: int) -> DataFrame:
     """Distinct pairs a > b of the members of buckets(bucket, id) with their bucket's leaders, and no others."""
     heads = buckets.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("salt")).agg(F.min("id").alias("head"))
-    heads = heads.groupBy("bucket").agg(F.collect_set("head").alias("heads"))  # as many as salts at most
-    p = buckets.join(heads, "bucket").select("id", F.explode("heads").alias("head")).filter("id <> head")
+    heads = written(heads.groupBy("bucket").agg(F.collect_set("head").alias("heads")), "dedup-heads")  # as many as salts at most
+    p = beside(buckets, heads, "bucket").select("id", F.explode("heads").alias("head")).filter("id <> head")
     return p.select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).distinct()
 
 
@@ -240,9 +255,10 @@ def unsettled(buckets: DataFrame, labels: DataFrame, leaders: int) -> DataFrame:
     heads = buckets.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("salt")).agg(F.min("id").alias("id"))
     members = buckets.join(heads.select("bucket", "id"), ["bucket", "id"], "left_anti")
     members = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = written(members, "dedup-members")
     per = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     open_ = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("largest")).filter("parts > 1")
-    return members.join(open_, "bucket").select("bucket", "id", "component", (F.col("component") != F.col("largest")).alias("query"))
+    return beside(members, written(open_, "dedup-open"), "bucket").select("bucket", "id", "component", (F.col("component") != F.col("largest")).alias("query"))
 
 
 def compared(queries: list[dict], data: list[dict], threshold: float) -> list[tuple[int, int]]:
@@ -287,17 +303,17 @@ def compared(queries: list[dict], data: list[dict], threshold: float) -> list[tu
 def settled(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The missing links (a, b) among unsettled members.
 
-    Members that share buckets, directly or through others, are a cluster. Its queries are compared with all its members in blocks of
-    ``BLOCK_TOKENS`` shingles: by signatures first, then exactly. Only links that tie components leave a task.
+    Members that share buckets, directly or through others, are a cluster. Its queries are compared with all its members in blocks of at most about
+    ``BLOCK_TOKENS`` shingles and ``BLOCK_ROWS`` members, each pair of blocks a task of its own: by signatures first, then exactly. Only links that tie components leave a task.
     """
-    heads = rest.groupBy("bucket").agg(F.min("id").alias("head"))
-    ties = rest.join(heads, "bucket").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    heads = written(rest.groupBy("bucket").agg(F.min("id").alias("head")), "dedup-heads")
+    ties = beside(rest, heads, "bucket").select(F.col("id").alias("a"), F.col("head").alias("b"))
     clusters = components(ties).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     rows = rest.groupBy("id", "component").agg(F.max("query").alias("query")).join(clusters, "id").join(sets, "id")
     rows = written(rows.withColumn("n", F.length("shingles") / 8), "dedup-rows")
-    blocks = lambda n: F.ceil(F.coalesce(n, F.lit(0)) / BLOCK_TOKENS).cast("int")
-    per = rows.groupBy("cluster").agg(blocks(F.sum("n")).alias("d_blocks"), blocks(F.sum(F.when(F.col("query"), F.col("n")))).alias("q_blocks"))
-    rows = rows.join(per.filter("q_blocks > 0"), "cluster")
+    blocks = lambda n: F.greatest(F.ceil(F.coalesce(F.sum(n), F.lit(0)) / BLOCK_TOKENS), F.ceil(F.count(n) / BLOCK_ROWS)).cast("int")
+    per = rows.groupBy("cluster").agg(blocks(F.col("n")).alias("d_blocks"), blocks(F.when(F.col("query"), F.col("n"))).alias("q_blocks"))
+    rows = beside(rows, written(per.filter("q_blocks > 0"), "dedup-clusters"), "cluster")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = ["cluster", "id", "component", "shingles"]
@@ -310,7 +326,9 @@ def settled(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         links = compared([x for x in r if x["query"]], data, threshold) if data else []
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return q.unionByName(d).groupBy("cluster", "qb", "db").applyInArrow(task, "a long, b long")
+    # dealt by block: a frame that is dealt by cluster already would be taken as it is
+    dealt = q.unionByName(d).repartition("cluster", "qb", "db")
+    return dealt.groupBy("cluster", "qb", "db").applyInArrow(task, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, leaders: int = LEADERS) -> DataFrame:

@@ -200,6 +200,7 @@ def brute_components(rows, k, threshold=80):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, ids, tokens):
     monkeypatch.setattr(dedup, "BROADCAST_IDS", ids)
     monkeypatch.setattr(dedup, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 40)
     r = random.Random(k)
     base = [f"b{r.randrange(300)}" for _ in range(90)]
     rows = [(i, t) for i, t in EDGES if i is not None]
