@@ -1,11 +1,18 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
 The model is the trie of all byte contexts up to ``ORDER`` bytes of the training texts. A text is read as its words, lower-cased, with one
-space between, and an end symbol; contexts at the start of a text are filled up with a start symbol. The probability of a symbol is
-taken in the longest context that was seen; a symbol that was not seen there costs the escape probability and is looked for in the context
-one byte shorter, from which the symbols that the longer one offered are excluded; below order 0 all symbols not excluded are equally
-likely. Escapes are estimated by method D: with n the count of a symbol, T their sum and d the number of symbols, p = (2n - 1) / 2T and
-p(escape) = d / 2T. As an adaptive coder would with update exclusion, orders below the highest count in how many longer contexts a symbol followed.
+space between, and an end symbol; contexts at the start of a text are filled up with a start symbol. A symbol is coded in the longest context that was seen: either
+by its estimate there or, if it was not seen there, by an escape to the context one byte shorter, where the symbols that the longer one offered are excluded; below
+order 0 all symbols not excluded are equally likely. Orders below the highest count in how many longer contexts a symbol followed (update exclusion).
+
+Escape estimate. Of each count n of a context ``discount(n)`` is set aside, E in all; of T, the sum of counts. The mass E / T is spread by the estimates of the order below:
+what falls on symbols seen here adds to their estimate (they inherit from the shorter context), the rest is the escape,
+
+    p(s) = (n - discount(n) + E * lower(s)) / T        for a symbol seen here,
+    escape = E / T * (1 - sum of lower(s) over the symbols seen here).
+
+An escaped symbol costs escape * lower(s) / (1 - that sum), by exclusion, which is E / T * lower(s): so one formula holds for all symbols, with n = 0 for those not seen, and
+the costs of a whole table of grams are worked out from order 0 upwards without a list of excluded symbols. ``Trie`` walks down with explicit escapes and exclusion.
 
 Two modes: ``corpus_scores`` learns from the training rows of the corpus and scores every row with that model (pretrained), ``Trie`` codes a
 text from an empty or given trie while it learns (adaptive); the trie is also the brute force in the tests.
@@ -43,7 +50,9 @@ BLOB_BYTES = 1 << 19
 PAD, END = 0xFF, 0xFE
 #: Symbols below order 0: all bytes but PAD.
 SYMBOLS = 255
-#: Rows of grams that a task of step 3 reads, about.
+#: The share of a count that is set aside for the order below: this times its square root, and at most MOST of it.
+DISCOUNT, MOST = 0.6, 0.95
+#: Rows of grams that a task of step 3 reads, about, and that are priced at once.
 PART_ROWS = 400_000
 
 
@@ -240,62 +249,86 @@ def chunked(order: int, chunk_bytes: int, blob_bytes: int):
     return task
 
 
-def low_orders(grams: DataFrame) -> np.ndarray:
-    """Counts of order 1 as a table of 256 x 256: in how many contexts of two bytes a symbol followed those of one byte."""
-    three = grams.filter("n > 0").select(F.col("key").bitwiseAND(0xFFFFFF).alias("k")).distinct()
-    rows = three.groupBy(F.col("k").bitwiseAND(0xFFFF).alias("k")).count().collect()  # 65,536 at most
-    out = np.zeros(1 << 16, np.int64)
-    for r in rows:
-        out[r["k"]] = r["count"]
-    return out.reshape(256, 256)
+def discount(n: np.ndarray) -> np.ndarray:
+    return np.minimum(MOST * n, DISCOUNT * np.sqrt(n))
+
+
+def shorter(k: np.ndarray, o: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of order o - 1 and their counts, from the distinct grams of order o."""
+    return summed(k & ((1 << 8 * o) - 1), np.ones(len(k), np.int64))
+
+
+def blended(p: np.ndarray, mine: np.ndarray, k: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Estimates of one order from those of the order below; mine: the grams asked for, k and c: all grams of the order, sorted, and their counts."""
+    if not len(k):
+        return p
+    context, aside = k >> 8, discount(c.astype(float))
+    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    t, e = np.add.reduceat(c.astype(float), first), np.add.reduceat(aside, first)
+    i = np.minimum(np.searchsorted(context[first], mine >> 8), len(first) - 1)
+    return np.where(context[first][i] == mine >> 8, (found(mine, k, c - aside) + e[i] * p) / t[i], p)
+
 
+class LowOrders:
+    """Orders 0 to 2 of the model: the counts of the three-byte sequences that occur, 2^24 at most."""
 
-def costs(keys: np.ndarray, n: np.ndarray, low: np.ndarray, order: int = ORDER) -> np.ndarray:
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        o = np.argsort(keys)
+        self.orders = [(keys[o], n[o])]
+        for order in (2, 1):
+            self.orders.insert(0, shorter(self.orders[0][0], order))
+
+    def estimates(self, keys: np.ndarray) -> np.ndarray:
+        """Of the last symbol of each gram by the two bytes before it."""
+        low, at = np.unique(keys & 0xFFFFFF, return_inverse=True)
+        p = np.full(len(low), 1 / SYMBOLS)
+        for o, (k, c) in enumerate(self.orders):
+            p = blended(p, low & ((1 << 8 * (o + 1)) - 1), k, c)
+        return p[at]
+
+
+def low_orders(grams: DataFrame, order: int) -> LowOrders:
+    seen = grams.filter("n > 0")
+    if order > 2:
+        seen = seen.select(F.col("key").bitwiseAND(0xFFFFFFFF).alias("key")).distinct().withColumn("n", F.lit(1))
+    t = seen.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.sum("n").cast("long").alias("n")).toArrow()
+    return LowOrders(t.column("key").to_numpy(), t.column("n").to_numpy())
+
+
+def costs(keys: np.ndarray, n: np.ndarray, low: LowOrders, order: int = ORDER) -> np.ndarray:
     """log10 probability of the last symbol of each gram, in the order of keys.
 
-    keys and n hold all grams that share the two bytes before the symbol; those with n = 0 are only asked for.
+    keys and n hold all grams of one or more contexts of three bytes; those with n = 0 are only asked for.
     """
-    cost, done = np.zeros(len(keys)), np.zeros(len(keys), bool)
-    out_n, out_d = np.zeros(len(keys)), np.zeros(len(keys))  # excluded counts and symbols
-    k, c = summed(keys[n > 0], n[n > 0])
-    for o in range(order, -1, -1):
-        mine = keys & ((1 << 8 * (o + 1)) - 1)
-        if o < order and o >= 2:
-            k, c = summed(k & ((1 << 8 * (o + 1)) - 1), np.ones(len(k), np.int64))
-        elif o == 1:
-            k = np.flatnonzero(low.ravel())
-            c = low.ravel()[k]
-        elif o == 0:
-            zero = (low > 0).sum(axis=0)
-            k = np.flatnonzero(zero)
-            c = zero[k]
-        if not len(k):
-            continue
-        context = k >> 8
-        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-        at = context[first]
-        t = found(mine >> 8, at, np.add.reduceat(c, first)) - out_n
-        d = found(mine >> 8, at, np.diff(np.append(first, len(k)))) - out_d
-        has = found(mine, k, c)
-        offers = (d > 0) & ~done
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cost = np.where(offers & (has > 0), cost + np.log10((2 * has - 1) / (2 * t)), cost)
-            cost = np.where(offers & (has == 0), cost + np.log10(d / (2 * t)), cost)
-        done |= offers & (has > 0)
-        # what this context offers is excluded one order below, with the counts that it has there
-        if o >= 3:
-            below, below_n = summed(k & ((1 << 8 * o) - 1), np.ones(len(k), np.int64))
-            lower = found(k & ((1 << 8 * o) - 1), below, below_n)
-        elif o == 2:
-            lower = low.ravel()[k & 0xFFFF]
-        elif o == 1:
-            lower = (low > 0).sum(axis=0)[k & 0xFF]
-        if o > 0:
-            out_n = found(mine >> 8, at, np.add.reduceat(lower, first))
-        out_d = found(mine >> 8, at, np.diff(np.append(first, len(k))))
-    left = ~done
-    cost[left] -= np.log10(np.maximum(1, SYMBOLS - out_d[left]))
-    return cost
+    orders = [summed(keys[n > 0], n[n > 0])]
+    for o in range(order, 3, -1):
+        orders.insert(0, shorter(orders[0][0], o))
+    p = low.estimates(keys)
+    for o, (k, c) in enumerate(orders[: order - 2], 3):
+        p = blended(p, keys & ((1 << 8 * (o + 1)) - 1), k, c)
+    return np.log10(p)
+
+
+def groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams and counts of rows that are ordered by their three bytes of context: whole contexts, about size rows at once."""
+    held, rows = [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        k, c = zip(*held, strict=True)
+        return np.concatenate(k), np.concatenate(c)
+
+    for b in batches:
+        held.append((b.column("key").to_numpy(), b.column("n").to_numpy()))
+        rows += b.num_rows
+        if rows >= size:
+            k, c = joined()
+            context = k >> 8 & 0xFFFFFF
+            cut = int(np.flatnonzero(context != context[-1])[-1]) + 1 if context[0] != context[-1] else 0
+            if cut:
+                yield k[:cut], c[:cut]
+            held, rows = [(k[cut:], c[cut:])], len(k) - cut
+    if rows:
+        yield joined()
 
 
 def corpus_scores(docs: DataFrame, held_out: Column, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, blob_bytes: int = BLOB_BYTES) -> DataFrame:
@@ -316,19 +349,15 @@ def corpus_scores(docs: DataFrame, held_out: Column, order: int = ORDER, chunk_b
     tokens = int(kinds[1]["n"] if 1 in kinds else 0) + int(trained)
     types = int(kinds[1]["seen"] if 1 in kinds else 0) + (trained > 0)
     grams = counts.filter("kind = 0").select("key", "n")
-    low = spark.sparkContext.broadcast(low_orders(grams))
+    low = spark.sparkContext.broadcast(low_orders(grams, order))
     parts = max(spark.sparkContext.defaultParallelism, int(kinds[0]["rows"] if 0 in kinds else 0) // PART_ROWS + 1)
 
     def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches]
-        if got:
-            k, n = (np.concatenate(x) for x in zip(*got, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(k), np.int8)), pa.array(k), pa.array(costs(k, n, low.value, order))], names=["kind", "key", "value"]
-            )
-
-    context = F.shiftright("key", 8).bitwiseAND(0xFFFF)
-    model = grams.repartition(parts, context).mapInArrow(priced, "kind byte, key long, value double")
+        for k, n in groups(batches, PART_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), np.int8)), pa.array(k), pa.array(costs(k, n, low.value, order))], names=["kind", "key", "value"])
+
+    context = F.shiftright("key", 8).bitwiseAND(0xFFFFFF)
+    model = grams.repartition(parts, context).sortWithinPartitions(context).mapInArrow(priced, "kind byte, key long, value double")
     model = model.unionByName(counts.filter("kind = 1").select("kind", "key", F.col("n").cast("double").alias("value")))
     asked = keys.select("kind", "chunk", "key").join(model, ["kind", "key"]).select("chunk", "kind", "key", "value")
     blobs = chunks.filter("kind = 2").select(F.col("chunk").alias("of_chunk"), "doc", "doc_id", "held_out", "sizes", "blob")
@@ -395,20 +424,32 @@ class Trie:
             if n[data[at]] > 1:
                 break
 
+    def estimates(self, contexts: list[bytes]) -> dict[int, float]:
+        """Of every symbol in the longest of some contexts (longest first); those of the shorter ones are spread over what is set aside."""
+        if not contexts:
+            return dict.fromkeys((s for s in range(256) if s != PAD), 1 / SYMBOLS)
+        lower = self.estimates(contexts[1:])
+        n = self.counts.get(contexts[0])
+        if not n:
+            return lower
+        t, e = sum(n.values()), sum(float(discount(np.float64(x))) for x in n.values())
+        return {s: (n[s] - float(discount(np.float64(n[s]))) if s in n else 0) / t + e / t * p for s, p in lower.items()}
+
     def cost(self, data: bytes, at: int) -> float:
-        """log10 probability of the symbol at a place."""
+        """log10 probability of the symbol at a place: escapes from context to context, each excluding what it offered."""
         excluded: set[int] = set()
-        out = 0.0
-        for c in self.contexts(data, at):
-            n = {s: x for s, x in self.counts[c].items() if s not in excluded} if c in self.counts else {}
-            if not n:
+        out, contexts = 0.0, self.contexts(data, at)
+        for i, c in enumerate(contexts):
+            offered = set(self.counts.get(c, ())) - excluded
+            if not offered:
                 continue
-            t = sum(n.values())
-            if data[at] in n:
-                return out + math.log10((2 * n[data[at]] - 1) / (2 * t))
-            out += math.log10(len(n) / (2 * t))
-            excluded |= set(n)
-        return out - math.log10(max(1, SYMBOLS - len(excluded)))
+            p = self.estimates(contexts[i:])
+            left = 1 - sum(p[s] for s in excluded)
+            if data[at] in offered:
+                return out + math.log10(p[data[at]] / left)
+            excluded |= offered
+            out += math.log10((1 - sum(p[s] for s in excluded)) / left)
+        return out - math.log10(SYMBOLS - len(excluded))
 
     def train(self, text: str | None) -> None:
         data = symbols(text)

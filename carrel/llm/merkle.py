@@ -1,12 +1,13 @@
-"""Document fingerprints: a Merkle tree over paragraphs and sections (DataFrame functions only).
+"""Document fingerprints: a Merkle tree over sections, paragraphs and pieces (DataFrame functions only).
 
-A text is cut without loss into sections (after empty lines) and paragraphs (after line feeds). A paragraph's hash is the sha256 of its text, a section's
-that of its paragraphs' hashes, the root that of the sections' hashes: equal roots mean equal texts, and comparing two trees from the root down
-visits only branches that differ, which locates edits.
+A text is cut without loss into sections (after empty lines), paragraphs (after line feeds) and pieces (runs of up to four words that end early at punctuation), the leaves. A
+leaf's hash is the sha256 of its text, that of a paragraph the sha256 of its leaves' hashes, that of a section of its paragraphs' hashes, the root of the sections'
+hashes: equal roots mean equal texts, and comparing two trees from the root down visits only branches that differ, which locates edits.
 
-The fingerprint is the root and, after a colon, a sketch: the ``SKETCH`` least distinct hashes (8 hexadecimal digits each) of the pieces of
-the text, runs of up to four words that end early at punctuation. The likeness of two fingerprints is the share of the least hashes of both
-sketches together that are in both (an estimate of the Jaccard similarity; exact while both texts together have at most ``SKETCH`` pieces).
+The fingerprint carries the root and the tree: after a colon its sections, divided by ``/``, of paragraphs, divided by ``.``, of leaves, ``LEAF`` hexadecimal digits each. So
+two fingerprints tell without the texts whether these are equal, how alike they are and where they part. The likeness is the share of their distinct leaves that both
+trees have, over all leaves; equal branches have equal leaves, so they need not be entered. ``first_edit`` goes down the first branch that differs. A fingerprint's
+length is in proportion to the text's (about a third). Leaves are told apart by 32 bits: of n leaves against m others about n * m / 2^32 agree by chance.
 
 ``with_next`` finds each document's successor in descending doc_id without a global sort in one task: distinct ids are range partitioned, written, ordered within
 their part, and the parts' first ids (one row each) tie the parts. The successor sends only the text that is asked for.
@@ -20,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from carrel.functions.binding import let
 from carrel.llm.common import table, written
 
-SKETCH = 128
+#: Digits of a leaf in a fingerprint.
+LEAF = 8
 #: Stands for a null doc_id: below all ids.
 LEAST = -(1 << 63)
 PIECE = r"(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?;:,][\x20\x09-\x0D]+){0,3}[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+"
@@ -37,42 +40,68 @@ def sha(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
+def joined(hashes: Column) -> Column:
+    return sha(F.array_join(hashes, ""))
+
+
 def tree(text: Column) -> Column:
-    """array<struct<hash, paragraphs array<string>>>: the sections of a text with the hashes of their paragraphs."""
-    sections = F.transform(F.filter(F.split(text, SECTION_END, -1), lambda s: s != ""), lambda s: F.transform(F.regexp_extract_all(s, F.lit(PARAGRAPH), F.lit(0)), sha))
-    return F.transform(sections, lambda p: F.struct(sha(F.array_join(p, "")).alias("hash"), p.alias("paragraphs")))
+    """array<struct<hash, paragraphs array<struct<hash, leaves array<string>>>>>: the sections of a text."""
+    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), sha)
+    paragraph = lambda p: let(leaves(p), lambda l: F.struct(joined(l).alias("hash"), l.alias("leaves")))
+    paragraphs = lambda s: F.transform(F.regexp_extract_all(s, F.lit(PARAGRAPH), F.lit(0)), paragraph)
+    section = lambda s: let(paragraphs(s), lambda p: F.struct(joined(F.transform(p, lambda x: x["hash"])).alias("hash"), p.alias("paragraphs")))
+    return F.transform(F.filter(F.split(text, SECTION_END, -1), lambda s: s != ""), section)
 
 
 def root(t: Column) -> Column:
-    return sha(F.array_join(F.transform(t, lambda s: s["hash"]), ""))
+    return joined(F.transform(t, lambda s: s["hash"]))
 
 
 def edits(a: Column, b: Column) -> Column:
     """array<struct<section, paragraph>>: where the second tree has paragraphs that the first lacks; sections found in both are not entered."""
-    known, old = F.transform(a, lambda s: s["hash"]), F.flatten(F.transform(a, lambda s: s["paragraphs"]))
+    known, old = F.transform(a, lambda s: s["hash"]), F.flatten(F.transform(a, lambda s: F.transform(s["paragraphs"], lambda p: p["hash"])))
     at = F.transform(b, lambda s, i: F.struct(i.alias("section"), s["hash"].alias("hash"), s["paragraphs"].alias("paragraphs")))
     changed = F.filter(at, lambda s: ~F.array_contains(known, s["hash"]))
     return F.flatten(F.transform(changed, lambda s: F.filter(
-        F.transform(s["paragraphs"], lambda p, j: F.struct(s["section"].alias("section"), F.when(~F.array_contains(old, p), j).alias("paragraph"))),
+        F.transform(s["paragraphs"], lambda p, j: F.struct(s["section"].alias("section"), F.when(~F.array_contains(old, p["hash"]), j).alias("paragraph"))),
         lambda x: x["paragraph"].isNotNull())))
 
 
-def sketch(text: Column) -> Column:
-    """The least hashes of the pieces of a text, joined."""
-    h = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.substring(F.md5(p.cast("binary")), 1, 8))
-    return F.array_join(F.slice(F.array_sort(F.array_distinct(h)), 1, SKETCH), "")
+def fingerprint(text: Column) -> Column:
+    short = lambda p: F.array_join(F.transform(p["leaves"], lambda l: F.left(l, F.lit(LEAF))), "")
+    shown = lambda t: F.array_join(F.transform(t, lambda s: F.array_join(F.transform(s["paragraphs"], short), ".")), "/")
+    return let(tree(text), lambda t: F.concat(root(t), F.lit(":"), shown(t)))
 
 
-def fingerprint(text: Column) -> Column:
-    return F.concat(root(tree(text)), F.lit(":"), sketch(text))
+def body(fp: Column) -> Column:
+    return F.substr(fp, F.lit(66))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints, 0 to 1; 1 for equal ones."""
-    x, y = (F.regexp_extract_all(F.substr(c, F.lit(66)), F.lit("[0-9a-f]{8}"), F.lit(0)) for c in (a, b))
-    least = F.slice(F.array_sort(F.array_union(x, y)), 1, SKETCH)
-    n = F.size(F.array_intersect(F.array_intersect(x, y), least))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(n.cast("double"), F.size(least)), F.lit(0.0)))
+    leaves = lambda fp: F.array_distinct(F.regexp_extract_all(body(fp), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0)))
+    share = lambda x, y, n: F.coalesce(F.try_divide(n.cast("double"), F.size(x) + F.size(y) - n), F.lit(0.0))
+    both = let(leaves(a), lambda x: let(leaves(b), lambda y: let(F.size(F.array_intersect(x, y)), lambda n: share(x, y, n))))
+    return F.when(a == b, F.lit(1.0)).otherwise(both)
+
+
+def first_edit(a: Column, b: Column) -> Column:
+    """section.paragraph.leaf, from 0, where two fingerprints begin to differ; empty for equal ones."""
+
+    def parting(x: Column, y: Column) -> Column:
+        """The first place at which two arrays differ; they are not equal."""
+        places = F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1)
+        return F.get(F.filter(places, lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i))), F.lit(0))
+
+    def below(x: Column, y: Column, cuts: list, shown: list[Column]) -> Column:
+        if not cuts:
+            return F.concat_ws(".", *[c.cast("string") for c in shown])
+        cut, *rest = cuts
+        part = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+        return let(cut(x), lambda xs: let(cut(y), lambda ys: let(parting(xs, ys), lambda i: below(part(xs, i), part(ys, i), rest, [*shown, i]))))
+
+    cuts = [lambda c: F.split(c, "/", -1), lambda c: F.split(c, r"\.", -1), lambda c: F.regexp_extract_all(c, F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0))]
+    return F.when(body(a) == body(b), F.lit("")).otherwise(below(body(a), body(b), cuts, []))
 
 
 def successors(docs: DataFrame) -> DataFrame:
@@ -114,26 +143,56 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        first_edit(F.col("fingerprint"), F.col("edited_fingerprint")).alias("first_edit"),
     )
 
 
-def _fp_sql(t: str) -> str:
-    q = lambda s: s.replace("'", "''")
-    sections = f"list_transform(regexp_extract_all({t}, '{q(SECTION)}'), lambda s: sha256(list_aggregate(list_transform(regexp_extract_all(s, '{q(PARAGRAPH)}'), lambda p: sha256(p)), 'string_agg', '')))"
-    pieces = f"list_slice(list_sort(list_distinct(list_transform(regexp_extract_all({t}, '{q(PIECE)}'), lambda p: substr(md5(p), 1, 8)))), 1, {SKETCH})"
-    return f"sha256(coalesce(list_aggregate({sections}, 'string_agg', ''), '')) || ':' || coalesce(list_aggregate({pieces}, 'string_agg', ''), '')"
+def _q(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def _join(x: str, by: str = "") -> str:
+    return f"coalesce(list_aggregate({x}, 'string_agg', '{by}'), '')"
+
+
+def _tree_sql(t: str) -> str:
+    """A list of sections of paragraphs of leaves."""
+    leaves = f"list_transform(regexp_extract_all(p, '{_q(PIECE)}'), lambda x: sha256(x))"
+    return f"list_transform(regexp_extract_all({t}, '{_q(SECTION)}'), lambda s: list_transform(regexp_extract_all(s, '{_q(PARAGRAPH)}'), lambda p: {leaves}))"
+
+
+def _fp_sql(tree: str) -> str:
+    hashes = f"list_transform({tree}, lambda s: sha256({_join('list_transform(s, lambda p: sha256(' + _join('p') + '))')}))"
+    short = _join(f"list_transform(p, lambda x: substr(x, 1, {LEAF}))")
+    shown = _join(f"list_transform({tree}, lambda s: {_join(f'list_transform(s, lambda p: {short})', '.')})", "/")
+    return f"sha256({_join(hashes)}) || ':' || {shown}"
+
+
+def _leaves_sql(x: str) -> str:
+    return f"regexp_extract_all({x}, '[0-9a-f]{{{LEAF}}}')"
 
 
 def _like_sql(a: str, b: str) -> str:
-    x, y = (f"regexp_extract_all(substr({c}, 66), '[0-9a-f]{{8}}')" for c in (a, b))
-    least = f"list_slice(list_sort(list_distinct(list_concat({x}, {y}))), 1, {SKETCH})"
-    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE coalesce(len(list_intersect(list_intersect({x}, {y}), {least}))::DOUBLE / nullif(len({least}), 0), 0.0) END"
+    x, y = (f"list_distinct({_leaves_sql(f'substr({c}, 66)')})" for c in (a, b))
+    n = f"len(list_intersect({x}, {y}))"
+    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE coalesce({n}::DOUBLE / nullif(len({x}) + len({y}) - {n}, 0), 0.0) END"
+
+
+def _part_sql(x: str, y: str) -> str:
+    return f"list_filter(range(0, greatest(len({x}), len({y}))), lambda i: {x}[i + 1] IS DISTINCT FROM {y}[i + 1])[1]"
 
 
 OP3_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nt FROM d),
 e AS (SELECT *, substr(t, 1, length(t) - length(t) // 2) || substr(nt, 1, length(t) // 2) AS ed FROM n),
-f AS (SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, {_fp_sql('t')} AS fingerprint,
-  {_fp_sql('ed')} AS edited_fingerprint, {_fp_sql('nt')} AS nf FROM e)
+x AS (SELECT *, {_tree_sql('t')} AS a, {_tree_sql('ed')} AS b, {_tree_sql('nt')} AS c FROM e),
+f AS (SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, {_fp_sql('a')} AS fingerprint,
+  {_fp_sql('b')} AS edited_fingerprint, {_fp_sql('c')} AS nf FROM x),
+s AS (SELECT *, string_split(substr(fingerprint, 66), '/') AS sa, string_split(substr(edited_fingerprint, 66), '/') AS sb FROM f),
+si AS (SELECT *, {_part_sql('sa', 'sb')} AS i FROM s),
+p AS (SELECT *, string_split(coalesce(sa[i + 1], ''), '.') AS pa, string_split(coalesce(sb[i + 1], ''), '.') AS pb FROM si),
+pj AS (SELECT *, {_part_sql('pa', 'pb')} AS j FROM p),
+l AS (SELECT *, {_leaves_sql("coalesce(pa[j + 1], '')")} AS la, {_leaves_sql("coalesce(pb[j + 1], '')")} AS lb FROM pj)
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_like_sql('fingerprint', 'edited_fingerprint')} AS near_edited,
-  {_like_sql('fingerprint', 'nf')} AS near_next FROM f"""
+  {_like_sql('fingerprint', 'nf')} AS near_next,
+  CASE WHEN i IS NULL THEN '' ELSE concat_ws('.', i, j, {_part_sql('la', 'lb')}) END AS first_edit FROM l"""

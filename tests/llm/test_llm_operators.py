@@ -154,6 +154,47 @@ def test_fingerprints(spark, tmp_path):
         assert 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
     assert got[43].fingerprint == got[44].fingerprint and got[44].near_next == 1
     assert len({x.fingerprint for x in got.values()}) == len(set(text.values()))
+    for k, i in enumerate(order):  # from the texts, in plain Python
+        t, nxt = text[i], text[order[(k + 1) % len(order)]]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        assert got[i].fingerprint == plain_fingerprint(t) and got[i].edited_fingerprint == plain_fingerprint(edited)
+        for value, other in ((got[i].near_edited, edited), (got[i].near_next, nxt)):
+            x, y = ({l for s in plain_tree(z) for p in s for l in p} for z in (t, other))
+            assert value == pytest.approx(1.0 if t == other else len(x & y) / len(x | y) if x | y else 0.0)
+        flat = lambda z: [(a, b, c, l) for a, s in enumerate(plain_tree(z)) for b, p in enumerate(s) for c, l in enumerate(p)]
+        x, y = flat(t), flat(edited)
+        if t != edited and i is not None and x and y:
+            n = next((n for n, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+            first = min(z[n][:3] for z in (x, y) if len(z) > n)
+            assert got[i].first_edit == ".".join(map(str, first))
+        assert (got[i].first_edit == "") == (t == edited)
+
+
+def plain_tree(text):
+    """Sections of paragraphs of leaves, each the first digits of its hash."""
+    import re
+
+    out = [[]]
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        out[-1].append([hashlib.sha256(p.encode()).hexdigest()[: merkle.LEAF] for p in re.findall(merkle.PIECE, line)])
+        if line == "\n":
+            out.append([])
+    return out if out[-1] else out[:-1]
+
+
+def plain_fingerprint(text):
+    import re
+
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections, part = [], ""
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        part += h("".join(h(p) for p in re.findall(merkle.PIECE, line)))
+        if line == "\n":
+            sections.append(h(part))
+            part = ""
+    sections += [h(part)] if part else []
+    return h("".join(sections)) + ":" + "/".join(".".join("".join(p) for p in s) for s in plain_tree(text))
 
 
 def test_merkle_tree_locates_edits(spark):
