@@ -5,8 +5,9 @@ of equals) is kept. Any shared span of k + w - 1 words or more (the window lengt
 joining on kept hashes misses none. Each hit is extended word by word to both ends; runs at least as long as the window count.
 Items shorter than a window are one window of their own length: all grams of that length are kept (w = 1).
 
-The benchmark's fingerprints are broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark text, found by counting before;
-documents pass the blocks one after the other in one scan, without a shuffle, and each document is handled on its own, so no key can be hot.
+A benchmark of at most ``BLOCK_BYTES`` of text, counted before, is one index that is broadcast: documents are joined with it in one scan without a shuffle, each on its own, so no key
+can be hot. A larger one is a table of fingerprints; those of the distinct texts are joined with it by a shuffle, both dealt by hash and salt, as a common passage may be in any part of
+either. Hits meet the texts of their item and document pair by pair and are extended there; only what is found goes back to the documents.
 
 Nulls: a null text has no words and no hits; an item without words has no window; a null item_id reads ``null``. Items that share an
 item_id count once. Repeated documents are separate rows; a null doc_id is kept. No items: nothing is hit. Extra columns of documents are carried along.
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrel.llm.common import table
+from carrel.llm.common import ascii_lower, table, written
 from carrel.llm.wordhash import ALNUM, gram_hashes, normal, word_hashes
 
 K, WINDOW = 5, 10
@@ -47,7 +48,7 @@ def winnow(g: np.ndarray, begin: np.ndarray, end: np.ndarray, w: int) -> np.ndar
 
 
 class Index:
-    """Fingerprints of one block of benchmark items."""
+    """Fingerprints of benchmark items."""
 
     def __init__(self, items: list[tuple[str, str | None]], k: int = K, window: int = WINDOW):
         self.k, self.window = k, window
@@ -110,44 +111,117 @@ def spans_of(mask: np.ndarray) -> list[dict[str, int]]:
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def benchmark_blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of about block_bytes of text at most, one block on the driver at a time."""
-    b = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
-    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(size // block_bytes) + 1
-    for k in range(n):
-        yield [tuple(r) for r in b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
-
-
 FOUND = ("n_words", "spans", "items")
+SPANS_DDL = "array<struct<start:int,end:int>>"
 
 
 def contaminated_spans(docs: DataFrame, bench: DataFrame, k: int = K, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs(text, ...) with n_words, spans array<struct<start, end>> of hit words and items array<string>; columns of these names are replaced."""
-    sc = docs.sparkSession.sparkContext
-    out = docs.drop(*FOUND).select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for items in benchmark_blocks(bench, block_bytes):
-        index = sc.broadcast(Index(items, k, window))
-
-        def task(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    rows = batch.slice(at, 256)
-                    datas = [normal(t, ALNUM) for t in rows.column("text").to_pylist()]
-                    h, off = word_hashes(datas)
-                    spans, found = rows.column("spans").to_pylist(), rows.column("items").to_pylist()
-                    for d, hits in index.value.hits(h, off).items():
-                        mask = np.zeros(int(off[d + 1] - off[d]), bool)
-                        for s in spans[d]:
-                            mask[s["start"] : s["end"]] = True
-                        found[d] = sorted({*found[d], *index.value.extend(datas[d].split(), hits, mask)})
-                        spans[d] = spans_of(mask)
-                    kept = [n for n in rows.schema.names if n not in FOUND]
-                    new = [pa.array(np.diff(off), pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in kept], *new], names=[*kept, *FOUND])
-
-        out = out.mapInArrow(task, out.schema)
-    return out
+    docs = docs.drop(*FOUND)
+    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return scanned(docs, items, k, window) if size <= block_bytes else joined(docs, items, k, window)
+
+
+def scanned(docs: DataFrame, items: DataFrame, k: int, window: int) -> DataFrame:
+    """contaminated_spans() by an index of all items that every task holds."""
+    index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.collect()], k, window))  # BLOCK_BYTES of text at most
+    names = docs.columns
+    out = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS_DDL).alias("spans"), F.array().cast("array<string>").alias("items"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                datas = [normal(t, ALNUM) for t in rows.column("text").to_pylist()]
+                h, off = word_hashes(datas)
+                spans, found = [[] for _ in datas], [[] for _ in datas]
+                for d, hits in index.value.hits(h, off).items():
+                    mask = np.zeros(int(off[d + 1] - off[d]), bool)
+                    found[d] = sorted(index.value.extend(datas[d].split(), hits, mask))
+                    spans[d] = spans_of(mask)
+                new = [pa.array(np.diff(off), pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], *new], names=[*names, *FOUND])
+
+    return out.mapInArrow(task, out.schema)
+
+
+#: Parts that a fingerprint, an item or a text is dealt to in the joins.
+SALTS = 8
+
+
+def prints(texts: DataFrame, key: str, lengths: list[int] | None, k: int, window: int) -> DataFrame:
+    """(key, n, g, place): the kept grams of texts(key, text) for windows of n words; lengths: of all these, or of each text's own."""
+    schema = texts.select(F.col(key), F.lit(0).alias("n"), F.lit(0).cast("long").alias("g"), F.lit(0).alias("place")).schema
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                h, off = word_hashes([normal(t, ALNUM) for t in rows.column("text").to_pylist()])
+                own = np.minimum(np.diff(off), window)
+                for n in lengths if lengths is not None else np.unique(own[own > 0]).tolist():
+                    grams = k if n == window else n
+                    g = gram_hashes(h, grams)
+                    begin = np.minimum(off[:-1], len(g))
+                    end = np.clip(off[1:] - grams + 1, begin, len(g))
+                    if lengths is None:
+                        end = np.where(own == n, end, begin)
+                    kept = winnow(g, begin, end, n - grams + 1)
+                    of = np.searchsorted(off, kept, "right") - 1
+                    cols = [rows.column(key).take(pa.array(of)), pa.array(np.full(len(kept), n, np.int32)), pa.array(g[kept].view(np.int64)), pa.array((kept - off[of]).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names=[key, "n", "g", "place"])
+
+    return texts.select(key, "text").mapInArrow(task, schema)
+
+
+def salted(one: DataFrame, many: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """The join of two frames, whose rows of one key are dealt to ``SALTS`` parts: many's by the hash of a column, one's repeated."""
+    one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(one, [*keys, "salt"]).drop("salt")
+
+
+def joined(docs: DataFrame, items: DataFrame, k: int, window: int) -> DataFrame:
+    """contaminated_spans() by a join of fingerprints."""
+    items = written(items.withColumn("item", F.monotonically_increasing_id()), "leaks-items")
+    of_items = written(prints(items, "item", None, k, window).withColumnRenamed("place", "i_place"), "leaks-prints")
+    lengths = sorted(r["n"] for r in of_items.select("n").distinct().collect())  # window at most
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    texts = docs.select(key.alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
+    hits = salted(of_items, prints(texts, "key", lengths, k, window), ["n", "g"], "key")
+    hits = written(hits.groupBy("key", "item").agg(F.collect_list(F.struct("place", "i_place")).alias("at")), "leaks-hits")
+    pairs = salted(items.select("item", "item_id", F.col("text").alias("i_text")), hits, ["item"], "key")
+    pairs = pairs.join(texts, "key").select("key", "text", "item_id", "i_text", "at")
+    schema = f"key string, item_id string, spans {SPANS_DDL}"
+
+    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                index, words = Index([(r["item_id"], r["i_text"])], k, window), normal(r["text"], ALNUM).split()
+                mask = np.zeros(len(words), bool)
+                at = sorted((x["place"], 0, x["i_place"]) for x in r["at"])
+                rows += [{"key": r["key"], "item_id": i, "spans": spans_of(mask)} for i in index.extend(words, at, mask)]
+            names = ["key", "item_id", "spans"]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(names, (pa.string(), pa.string(), SPANS), strict=True))))
+
+    found = pairs.mapInArrow(extended, schema).groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    found = written(found.withColumn("spans", united(F.col("spans"))), "leaks-found").withColumnRenamed("key", "__key")
+    words = F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    out = docs.withColumn("n_words", words).withColumn("__key", key).join(found, "__key", "left").drop("__key")
+    none = {"spans": F.array().cast(SPANS_DDL), "items": F.array().cast("array<string>")}
+    return out.select(*docs.columns, "n_words", *[F.coalesce(c, none[c]).alias(c) for c in ("spans", "items")])
+
+
+def united(spans: Column) -> Column:
+    """Sorted spans, those that touch or overlap as one."""
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(s["start"] <= last["end"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast(SPANS_DDL), step)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,17 @@ def is_main(name: str, attributes: list[tuple[str, str]]) -> bool:
     return name in MAIN or any(k == "role" and ROLE_MAIN.match(value) for k, value in attributes)
 
 
+def inline_ends(html: str, name: str) -> dict[int, int]:
+    """For the start of each element of a name the place after its end tag, nested ones of that name passed over; one that is never closed has none."""
+    opened, out = [], {}
+    for m in re.finditer(rf"</{re.escape(name)}\s*+>|<{re.escape(name)}(?=[\s/>])", html, re.I):
+        if html[m.start() + 1] != "/":
+            opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def blocks(html: str) -> list[tuple[str, str]]:
     """(role, text) of the visible blocks of a page in order."""
     out: list[tuple[str, str]] = []
@@ -138,6 +149,7 @@ def blocks(html: str) -> list[tuple[str, str]]:
 
     at = 0
     failed: set[int] = set()
+    ends: dict[str, dict[int, int]] = {}
     while at < len(html):
         m = TAG.search(html, at)
         if m is None:
@@ -195,8 +207,9 @@ def blocks(html: str) -> list[tuple[str, str]]:
             stack.append((name, d, a))
             drops, mains = drops + d, mains + a
         elif dropped(name, attributes_of(rest), mains > 0):  # an inline element
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = end.end() if end is not None else at
+            if name not in ends:
+                ends[name] = inline_ends(html, name)
+            at = max(at, ends[name].get(m.start(), at))
     flush()
     return out
 

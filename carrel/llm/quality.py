@@ -1,17 +1,17 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages of ``PASSAGE`` words. Each passage is described by shares of its bytes and words (letters of either case, digits, symbols, repeated
-words, word triples seen before in the document, ...), encoded by a small tanh layer, weighted by gated attention
+A document is a bag of passages of ``PASSAGE`` words. Each passage is described by what it says, as shares of its words and of its letter triples by hash bucket (``BUCKETS`` each), and by how
+it is written: shares of its bytes and words (letters of either case, digits, symbols, repeated words, word triples seen before in the document, ...). It is encoded by a small tanh layer, weighted by gated attention
 (softmax over the document of w . (tanh(V h) * sigmoid(U h))), and the weighted sum of the encodings is scored by a logistic unit. Encoder, attention and
 scorer are learned together from document labels.
 
-Training takes at most ``TRAIN_DOCS`` labelled documents of each label, those of least hash, from the rows outside the held-out fold; passages are encoded on the
-executors, only their features reach the driver. The prior of the labels in the whole training fold is restored after training on equal numbers. Weights are a few thousand numbers.
+Training takes at most ``TRAIN_DOCS`` labelled documents of each label, those of least hash, from the rows outside the held-out fold, and of a long one ``TRAIN_PASSAGES`` passages, evenly
+spaced; passages are described on the executors, only their features reach the driver. The prior of the labels in the whole training fold is restored after training on equal numbers. Weights are a few thousand numbers.
 Scoring is one scan over whole texts without a shuffle.
 
 Nulls: a null text is empty; an empty text is one passage of zeros and gets a score like any other. Rows without a label or with a null doc_id do not train; repeated labels count each.
 Without labels of both kinds every score is the share of label 1 (0.5 without any). An empty table gives no rows. Extra columns are carried along.
-Texts above ``PIECE_BYTES`` are described in pieces: triples seen before are then looked for within the piece.
+Texts above ``LONG_BYTES`` are described block by block, to bound the arrays of bytes; blocks end with a passage, and words are compared over the whole text, so the features are the same.
 """
 
 from __future__ import annotations
@@ -30,7 +30,10 @@ PASSAGE = 32
 TRAIN_DOCS = 3000
 HIDDEN, GATE = 24, 12
 EPOCHS, STEP = 30, 0.01
-PIECE_BYTES = 4 << 20
+TRAIN_PASSAGES = 64
+LONG_BYTES = 4 << 20
+#: Hash buckets of words, and of letter triples.
+BUCKETS = 64
 THRESHOLD = 0.7
 
 #: Byte classes: white space, upper, lower, digit, full stop and comma, exclamation and question, bar, line feed, beyond ASCII, other symbols.
@@ -55,37 +58,18 @@ def _class(b: int) -> int:
 
 
 CLASSES = np.array([_class(b) for b in range(256)], np.uint8)
-FEATURES = 10 + 11
+FEATURES = 10 + 11 + 2 * BUCKETS
+LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint32)
 
 
-def described(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the passages of texts one after the other, and the number of passages of each text (one at least)."""
-    a = np.frombuffer(b" ".join(datas) + b" ", np.uint8)
+def words_of(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words in an array of bytes."""
     cls = CLASSES[a]
-    is_word = (cls != WHITE) & (cls != LINE)
-    h, starts = block_hashes(a, is_word)
-    begin = np.concatenate(([0], np.cumsum([len(d) + 1 for d in datas])))
-    off = np.searchsorted(starts, begin)
-    n = np.diff(off)
-    per = np.maximum(1, -(-n // PASSAGE))
-    first = np.concatenate(([0], np.cumsum(per)))  # first passage of each text
-    doc = np.repeat(np.arange(len(datas)), n)
-    place = np.arange(len(h)) - off[doc]
-    pid = first[doc] + place // PASSAGE
-    size = int(first[-1])
-    at = np.zeros(size, np.int64)
-    at[first[:-1]] = begin[:-1]
-    lead = (place % PASSAGE == 0) & (place > 0)
-    at[pid[lead]] = starts[lead]
-    by_class = [np.add.reduceat((cls == c).astype(np.int32), at) for c in range(10)]
-    n_bytes = np.maximum(1, np.diff(np.append(at, len(a))))
-    count = lambda x: np.bincount(pid, x, size) if len(pid) else np.zeros(size)
-    words = count(None)
-    w = np.maximum(1, words)
-    lens = np.diff(np.append(starts, len(a))) if len(starts) else starts
-    upper = np.add.reduceat((cls == UPPER).astype(np.int32), starts) if len(starts) else starts
-    lower = np.add.reduceat((cls == LOWER).astype(np.int32), starts) if len(starts) else starts
-    letters = upper + lower + (np.add.reduceat((cls == HIGH).astype(np.int32), starts) if len(starts) else 0)
+    return block_hashes(a, (cls != WHITE) & (cls != LINE))
+
+
+def repeats(h: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """Which words are the one before, the one before that, and the first of a triple that the document had already; doc: the text of each word."""
 
     def back(k: int) -> np.ndarray:
         same = np.zeros(len(h), bool)
@@ -99,31 +83,99 @@ def described(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         seen[: len(g)] = True
         seen[firsts] = False
         seen[: len(g)] &= doc[: len(g)] == doc[2:]
+    return [back(1), back(2), seen]
+
+
+def passages(a: np.ndarray, h: np.ndarray, starts: np.ndarray, again: list[np.ndarray], pid: np.ndarray, at: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Features of passages. a: their bytes, one passage after the other, which begin at ``at``; pid: the passage of each word; total: the words of each passage's text."""
+    size, cls = len(at), CLASSES[a]
+    by_class = [np.add.reduceat((cls == c).astype(np.int32), at) for c in range(10)]
+    n_bytes = np.maximum(1, np.diff(np.append(at, len(a))))
+    count = lambda x: np.bincount(pid, x, size) if len(pid) else np.zeros(size)
+    words = count(None)
+    w = np.maximum(1, words)
+    inside = (cls != WHITE) & (cls != LINE)
+    lens = np.add.reduceat(inside.astype(np.int32), starts) if len(starts) else starts
+    upper = np.add.reduceat((cls == UPPER).astype(np.int32), starts) if len(starts) else starts
+    lower = np.add.reduceat((cls == LOWER).astype(np.int32), starts) if len(starts) else starts
+    letters = upper + lower + (np.add.reduceat((cls == HIGH).astype(np.int32), starts) if len(starts) else 0)
     distinct = np.zeros(size)
     if len(h):
         _, i = np.unique(mix(h + pid.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)
         distinct = np.bincount(pid[i], minlength=size)
-    total = np.repeat(n, per)
     cols = [c / n_bytes for c in by_class] + [
-        count(back(1)) / w, count(back(2)) / w, count(seen) / w, distinct / w, count(lens.astype(float)) / w / 16, count(letters == 0) / w,
-        count((upper > 1) & (lower == 0)) / w, count(lens <= 2) / w, np.log1p(words) / 4, np.log1p(total) / 10, np.repeat(n == 0, per).astype(float),
+        *[count(x) / w for x in again], distinct / w, count(lens.astype(float)) / w / 16, count(letters == 0) / w,
+        count((upper > 1) & (lower == 0)) / w, count(lens <= 2) / w, np.log1p(words) / 4, np.log1p(total) / 10, (total == 0).astype(float),
     ]
-    return np.stack(cols, axis=1).astype(np.float32), per
+    by_word = np.bincount(pid * BUCKETS + (h >> U(32)).astype(np.int64) % BUCKETS, minlength=size * BUCKETS).reshape(size, BUCKETS)
+    three = np.flatnonzero(inside[:-2] & inside[1:-1] & inside[2:]) if len(a) > 2 else np.zeros(0, int)
+    b = LOWERED[a]
+    bucket = (triple(b[three], b[three + 1], b[three + 2]) % BUCKETS).astype(np.int64)
+    of = np.zeros(len(a), np.int32)
+    of[at[1:]] = 1
+    by_triple = np.bincount(np.cumsum(of)[three] * BUCKETS + bucket, minlength=size * BUCKETS).reshape(size, BUCKETS)
+    shares = [by_word / w[:, None], by_triple / np.maximum(1, by_triple.sum(axis=1, keepdims=True))]
+    return np.concatenate([np.stack(cols, axis=1), *shares], axis=1).astype(np.float32)
+
 
+def triple(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """A hash of three bytes, as 32-bit numbers."""
+    h = (x * np.uint32(0x9E3779B1)) ^ (y * np.uint32(0x85EBCA6B)) ^ (z * np.uint32(0xC2B2AE35))
+    return (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(20)
 
-def bags(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+
+def described(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the passages of texts one after the other, and the number of passages of each text (one at least)."""
+    a = np.frombuffer(b" ".join(datas) + b" ", np.uint8)
+    h, starts = words_of(a)
+    begin = np.concatenate(([0], np.cumsum([len(d) + 1 for d in datas])))
+    off = np.searchsorted(starts, begin)
+    n = np.diff(off)
+    per = np.maximum(1, -(-n // PASSAGE))
+    first = np.concatenate(([0], np.cumsum(per)))  # first passage of each text
+    doc = np.repeat(np.arange(len(datas)), n)
+    place = np.arange(len(h)) - off[doc]
+    pid = first[doc] + place // PASSAGE
+    at = np.zeros(int(first[-1]), np.int64)
+    at[first[:-1]] = begin[:-1]
+    lead = (place % PASSAGE == 0) & (place > 0)
+    at[pid[lead]] = starts[lead]
+    return passages(a, h, starts, repeats(h, doc), pid, at, np.repeat(n, per)), per
+
+
+def described_long(data: bytes, block: int) -> np.ndarray:
+    """described() of one long text; arrays of bytes are of about block bytes, arrays of words of the whole text."""
+    hashes, places, at = [], [], 0
+    while at < len(data):
+        end = data.find(b" ", at + block) if len(data) - at > block else len(data)
+        end = len(data) if end < 0 else end
+        h, starts = words_of(np.frombuffer(data[at:end] + b" ", np.uint8))
+        hashes.append(h)
+        places.append(starts + at)
+        at = end
+    h, starts = np.concatenate(hashes), np.concatenate(places)
+    again = repeats(h, np.zeros(len(h), np.int64))
+    leads = starts[::PASSAGE].copy()
+    leads[:1] = 0
+    out, i = [], 0
+    while i < len(leads):
+        k = max(i + 1, int(np.searchsorted(leads, leads[i] + block)))
+        end = int(leads[k]) if k < len(leads) else len(data)
+        a = np.frombuffer(data[leads[i] : end] + (b"" if k < len(leads) else b" "), np.uint8)
+        mine = slice(i * PASSAGE, k * PASSAGE)
+        pid = np.arange(len(h[mine])) // PASSAGE
+        out.append(passages(a, h[mine], starts[mine] - leads[i], [x[mine] for x in again], pid, leads[i:k] - leads[i], np.full(min(k, len(leads)) - i, len(h))))
+        i = k
+    return np.concatenate(out) if out else described([data])[0]
+
+
+def bags(texts: list[str | None], long: int = LONG_BYTES) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """(places of texts, passage features, passages of each) in blocks of bounded size."""
     at, held, size = [], [], 0
     for i, t in enumerate(texts):
         d = (t or "").encode("utf-8", "surrogatepass")
-        if len(d) > PIECE_BYTES:
-            parts, k = [], 0
-            while k < len(d):
-                end = d.find(b" ", k + PIECE_BYTES)
-                end = len(d) if end < 0 else end
-                parts.append(described([d[k:end]])[0])
-                k = end
-            x = np.concatenate(parts)
+        if len(d) > long:
+            x = described_long(d, long)
             yield [i], x, np.array([len(x)])
             continue
         at.append(i)
@@ -221,7 +273,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = T
             label = batch.column("quality").to_pylist()
             for at, x, per in bags(batch.column("text").to_pylist()):
                 begin = np.cumsum(per) - per
-                rows = [x[b : b + n].tobytes() for b, n in zip(begin, per, strict=True)]
+                some = lambda n: np.unique(np.linspace(0, n - 1, TRAIN_PASSAGES).astype(int)) if n > TRAIN_PASSAGES else slice(0, n)
+                rows = [x[b : b + n][some(n)].tobytes() for b, n in zip(begin, per, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([label[i] for i in at], pa.int32()), pa.array(rows, pa.binary())], names=["quality", "x"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", "text").mapInArrow(features, "quality int, x binary")

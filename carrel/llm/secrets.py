@@ -9,7 +9,7 @@ The base kinds ``assign``, ``access`` and ``hex`` come first; the others are pub
 
 Postings are rows (trigram, doc_id); a frequent trigram is many rows, never one list, and sums per document are combined before the shuffle.
 
-Nulls: a null text is empty; a null doc_id is looked up like any other; documents with one doc_id share postings, which only adds candidates. An empty table gives no rows.
+Nulls: a null text is empty; a document with a null doc_id is looked up by its text; documents with one doc_id share postings, which only adds candidates. An empty table gives no rows.
 Extra columns are carried along.
 """
 
@@ -24,7 +24,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrel.llm.common import table
+from carrel.llm.common import table, written
 
 
 @dataclass(frozen=True)
@@ -167,6 +167,10 @@ def holds(q: Query, has: dict[str, Column]) -> Column:
     return reduce(lambda a, b: a & b if q[0] == "all" else a | b, [holds(x, has) for x in q[1]])
 
 
+#: Candidates (a key and a few kinds, about 100 bytes) that are broadcast, counted first; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
 # --- the index ---------------------------------------------------------------------------------------------------------------------------------
 def build_index(docs: DataFrame, grams: list[str]) -> DataFrame:
     """Postings (trigram, doc_id) of the trigrams that the queries name, for docs(doc_id, text)."""
@@ -207,12 +211,16 @@ def matches(text: Column, rule: Rule, kind: int) -> Column:
 def found_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with spans array<struct<start, kind, end, keep>>, ordered by start and kind (its place in rules), for every row of docs(doc_id, text, ...).
 
-    A column of docs that is called spans is replaced.
+    A column of docs that is called spans is replaced. The candidates are written first: few are broadcast, so that texts are not shuffled.
     """
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     grams = sorted(set().union(*(trigrams(q) for q in queries.values())))
-    cand = candidates(build_index(docs, grams), rules).select(F.col("doc_id").alias("__carrel_doc_id"), F.col("kinds").alias("__carrel_kinds"))
-    d = docs.join(cand, F.col("doc_id").eqNullSafe(F.col("__carrel_doc_id")), "left").drop("__carrel_doc_id")
+    # rows without an id have their text's hash as key, so that they are not one key; equal keys only add candidates
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    cand = candidates(build_index(docs.select(key.alias("doc_id"), "text"), grams), rules)
+    cand = written(cand.select(F.col("doc_id").alias("__carrel_key"), F.col("kinds").alias("__carrel_kinds")), "secrets-candidates")
+    few = cand.count() <= BROADCAST_ROWS
+    d = docs.withColumn("__carrel_key", key).join(F.broadcast(cand) if few else cand, "__carrel_key", "left").drop("__carrel_key")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast(SPAN)
     spans = []

@@ -288,8 +288,10 @@ SECRETS = [
 ]
 
 
-def test_secrets_equal_plain_search(spark):
-    rows = [(i, t) for i, t in enumerate(SECRETS)] + EDGES + [(3, "token=zzzzzzz")]
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_secrets_equal_plain_search(spark, monkeypatch, few):
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", few)
+    rows = [(i, t) for i, t in enumerate(SECRETS)] + EDGES + [(3, "token=zzzzzzz"), (None, "token=yyyyyyy"), (None, "token=yyyyyyy"), (None, None)]
     got = secrets.found_spans(docs(spark, rows).withColumn("kinds", F.lit(1)).withColumn("spans", F.lit(1))).collect()
     assert len(got) == len(rows)
     for x in got:
@@ -468,12 +470,85 @@ def test_quality_gradients_and_edges(spark):
     assert quality.scored(docs(spark, []), none).count() == 0
 
 
-def test_quality_pieces_of_long_texts(monkeypatch):
-    monkeypatch.setattr(quality, "PIECE_BYTES", 200)
-    found = list(quality.bags(["a b", "word " * 500, None]))
+@pytest.mark.parametrize("block", [1, 50, 400, 10**6])
+def test_quality_blocks_of_long_texts_change_nothing(block):
+    r = random.Random(11)
+    for text in ("word " * 500, " \n lead " + prose(r, 700) + "  ", "x" * 3000 + " y " + "z" * 900, "\n\n  ", " ".join(["a b c"] * 40), "a " * 31 + "b", "a " * 32, "é!" * 600):
+        whole, per = quality.described([text.encode()])
+        assert np.array_equal(whole, quality.described_long(text.encode(), block)) and per[0] == len(whole)
+    found = list(quality.bags(["a b", "word " * 500, None], long=200))
     assert sorted(i for at, *_ in found for i in at) == [0, 1, 2] and all(len(x) == per.sum() for _, x, per in found)
 
 
+def plain_features(text):
+    """The features of each passage in plain Python."""
+    import re
+
+    data, m64 = text.encode() + b" ", (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m64
+        return x ^ (x >> 31)
+
+    def word_hash(w):
+        n, p = 0, 1
+        for b in w:
+            n, p = n + (b + 1) * p, p * 0x9E3779B97F4A7C15 & m64
+        return mixed((n + len(w) * 0xD6E8FEB86659FD93) & m64)
+
+    def triple(x, y, z):
+        m = (1 << 32) - 1
+        h = (x * 0x9E3779B1 & m) ^ (y * 0x85EBCA6B & m) ^ (z * 0xC2B2AE35 & m)
+        return (((h ^ (h >> 15)) * 0x2C1B3C6D) & m) >> 20
+
+    kind = lambda b: int(quality.CLASSES[b])
+    found = [(m.start(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    words = [w for _, w in found]
+    n = len(words)
+    out = []
+    for i in range(0, max(1, n), quality.PASSAGE):
+        mine = words[i : i + quality.PASSAGE]
+        begin, end = (found[i][0] if i else 0), (found[i + quality.PASSAGE][0] if i + quality.PASSAGE < n else len(data))
+        raw, w = data[begin:end], max(1, len(mine))
+        at = range(i, i + len(mine))
+        seen = [j + 2 < n and any(words[j : j + 3] == words[k : k + 3] for k in range(j)) for j in at]
+        count = lambda f: sum(f(x) for x in mine) / w
+        of = lambda x, *cs: sum(kind(b) in cs for b in x)
+        row = [sum(kind(b) == c for b in raw) / max(1, len(raw)) for c in range(10)]
+        row += [sum(j >= k and words[j] == words[j - k] for j in at) / w for k in (1, 2)] + [sum(seen) / w, len(set(mine)) / w, count(len) / 16]
+        row += [count(lambda x: of(x, quality.UPPER, quality.LOWER, quality.HIGH) == 0), count(lambda x: of(x, quality.UPPER) > 1 and of(x, quality.LOWER) == 0), count(lambda x: len(x) <= 2)]
+        row += [np.log1p(len(mine)) / 4, np.log1p(n) / 10, float(n == 0)]
+        by_word, by_triple = [0.0] * quality.BUCKETS, [0.0] * quality.BUCKETS
+        for x in mine:
+            by_word[(word_hash(x) >> 32) % quality.BUCKETS] += 1 / w
+            low = x.lower()
+            for k in range(len(x) - 2):
+                by_triple[triple(*low[k : k + 3]) % quality.BUCKETS] += 1
+        out.append(row + by_word + [x / max(1, sum(by_triple)) for x in by_triple])
+    return np.array(out)
+
+
+def test_quality_features_and_scores_equal_plain_python(spark):
+    r = random.Random(12)
+    texts = ["", " \t\n ", "one", "A AA aA 12 | !! , é", "same same other same other", prose(r, 31), prose(r, 32), prose(r, 100, 6), "the cat sat on the mat. " * 12 + "END\n", "日本 " * 40 + "x" * 200]
+    model = quality.Model(3)
+    every = np.concatenate([plain_features(t) for t in texts])
+    model.mean, model.scale, model.shift = every.mean(axis=0), every.std(axis=0) + 1e-3, 0.3
+    got = {x.doc_id: x.score for x in quality.scored(docs(spark, list(enumerate(texts))), model).collect()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for i, t in enumerate(texts):
+        x = plain_features(t)
+        np.testing.assert_allclose(quality.described([b"zz", t.encode(), b"  y y"])[0][1 : 1 + len(x)], x, rtol=1e-5, atol=1e-6)
+        p, weights, codes = model.p, [], []
+        for row in np.clip((x.astype(np.float32) - model.mean) / model.scale, -8, 8):  # passage by passage, as the formula has it
+            h = np.tanh(row @ p["W"] + p["b"])
+            codes.append(h)
+            weights.append(np.exp(p["w"] @ (np.tanh(h @ p["V"]) * sigmoid(h @ p["G"]))))
+        z = sum(w * h for w, h in zip(weights, codes, strict=True)) / sum(weights)
+        assert got[i] == pytest.approx(sigmoid(z @ p["c"] + p["d"][0] + 0.3), abs=1e-6)
+
+
 # op 9 ------------------------------------------------------------------------------------------------------------------------------------------
 def test_blocks_and_roles():
     page = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><li>Home<li>More</nav><div class="cookie-notice">We use</div>
@@ -486,6 +561,16 @@ def test_blocks_and_roles():
     assert html.blocks("") == [] and html.blocks("a < b <p") == [("open", "a < b <p")] and html.blocks("<script>x") == []
 
 
+def test_inline_adverts_end_where_they_end():
+    text = lambda x: "|".join(t for _, t in html.blocks(f"<article><p>{x}</p></article>"))
+    assert text('a <span class="ad">buy <span>now</span> LEAK</span> b') == "a b"
+    assert text('a <span class="ad">buy <SPAN x="1">now <span>x</span></SPAN > LEAK</span > b') == "a b"
+    assert text('a <span class="ad">open b') == "a open b"  # never closed: an element that cannot be told from what follows
+    assert text('<b>a</b> <span>b <span class="ad">x</span> c</span>') == "a b c"
+    big = '<span class="ad">' * 20_000 + "x"
+    assert text(big) == "x"
+
+
 def test_articles_keep_sections_named_like_page_parts():
     ids = ["social-effects", "related-work", "menu", "notice-period", "alert-levels", "adReplies"]
     page = "<article>" + "".join(f"<section id={i}><h2 id=comments>{i}</h2><p class='menu-card'>p {i}</section>" for i in ids)
