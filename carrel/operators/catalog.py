@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carrel.functions.binding import let
 from carrel.functions.text import compose, split_tags
 
 SCHEMA = "doc_id string, seq long, cid string, dataset_title string, document string, metadata variant, added_ms long"
@@ -18,6 +19,12 @@ def merged(base: dict[str, Any], metadata: dict[str, Any] | None) -> dict[str, A
     return base | (metadata or {})
 
 
+def merged_maps(base: Column, metadata: Column) -> Column:
+    """``merged`` over map columns: the request's own keys override; a null map adds nothing."""
+    empty = F.create_map().cast("map<string,string>")
+    return let(F.coalesce(metadata, empty), lambda m: F.map_concat(F.map_filter(F.coalesce(base, empty), lambda k, _: ~F.map_contains_key(m, k)), m))
+
+
 def entries(spark: SparkSession, requests: list[dict[str, Any]], first_seq: int = 0, now_ms: int = 0) -> DataFrame:
     """Catalogue rows of store requests (summary, dataset_title, cid, metadata)."""
     rows = []

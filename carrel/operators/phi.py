@@ -16,6 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from carrel.functions.text import normal_id, pseudonym
 
@@ -58,6 +59,10 @@ def has_id(c: Column, numeric: bool = False) -> Column:
     return F.coalesce(c.isNotNull() & (s != "") & ~zero, F.lit(False))
 
 
+def numeric_columns(df: DataFrame) -> set[str]:
+    return {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+
+
 def filled(cells: list[Column]) -> Column:
     """Whether any cell of a row is neither absent nor empty."""
     out = F.lit(False)
@@ -77,7 +82,7 @@ def masked(df: DataFrame, headers: dict[str, str] | None = None, *, wallet: str
     shown = [(headers or {}).get(c, c) for c in df.columns]
     mine = [df.columns[i] for i in personal_columns(shown, strict)]
     ident = id_column(shown, strict)
-    numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in ("integer", "long", "short", "byte", "double", "float", "decimal")}
+    numeric = numeric_columns(df)
     by_row = F.concat_ws("\u0001", F.lit(salt), *[F.col(c).cast("string") for c in row_key or df.columns])
     if ident is not None:
         c = df.columns[ident]
@@ -92,8 +97,8 @@ def masked(df: DataFrame, headers: dict[str, str] | None = None, *, wallet: str
     return df.select(*[put[c].alias(c) if c in put else F.col(c) for c in df.columns])
 
 
-def masked_cells(df: DataFrame, *, wallet: str | None = None, salt: str = "", mode: str = "compat", hash_len: int = 8) -> DataFrame:
-    """Long sheets (file, sheet, row_idx, headers array, cells array), row 0 the header, masked: the cases chosen by the headers that travel with each row."""
+def masked_cells(df: DataFrame, *, wallet: str | None = None, salt: str = "", mode: str = "compat", hash_len: int = 8, key: str | None = None) -> DataFrame:
+    """Long sheets (file, sheet, row_idx, headers array, cells array), row 0 the header, masked: the cases chosen by the headers that travel with each row. Sheets without rows pass."""
     low = F.transform("headers", lambda h: F.lower(F.replace(h, F.lit("_"), F.lit(" ")) if mode == "strict" else h))
     is_id = F.transform(low, lambda h: F.coalesce(F.contains(h, F.lit("patient")) & F.contains(h, F.lit("id")), F.lit(False)))
     ident = F.size(is_id) - F.array_position(F.reverse(is_id), True).cast("int")  # size: none
@@ -108,11 +113,11 @@ def masked_cells(df: DataFrame, *, wallet: str | None = None, salt: str = "", mo
 
     df = df.withColumn("_ident", ident).withColumn("_mine", F.transform(low, lambda h, i: personal(h) | (i == F.col("_ident"))))
     cell = F.get("cells", F.col("_ident"))
-    row = pseudonym(F.concat_ws("\u0001", F.lit(salt), "file", "sheet", F.col("row_idx").cast("string")), hash_len)
-    by_id = pseudonym(normal_id(cell), hash_len)
+    row = pseudonym(F.concat_ws("\u0001", F.lit(salt), "file", "sheet", F.col("row_idx").cast("string")), hash_len, key)
+    by_id = pseudonym(normal_id(cell), hash_len, key)
     given = has_id(cell) & ~F.coalesce(cell.rlike(r"^-?0+(\.0+)?$"), F.lit(False))
     any_cell = F.exists("cells", lambda c: F.coalesce(c != "", F.lit(False)))
-    other = pseudonym(F.lit(wallet), hash_len) if wallet else row
+    other = pseudonym(F.lit(wallet), hash_len, key) if wallet else row
     name = F.when(F.col("_ident") >= 0, F.when(given, by_id).otherwise(row)).otherwise(other)
     rule = F.when(F.col("_ident") >= 0, given if mode == "compat" else any_cell).otherwise(any_cell) & (F.col("row_idx") > 0)
     df = df.withColumn("_name", name).withColumn("_rule", rule)
@@ -120,14 +125,13 @@ def masked_cells(df: DataFrame, *, wallet: str | None = None, salt: str = "", mo
     return df.withColumn("cells", cells).drop("_ident", "_mine", "_name", "_rule")
 
 
-def identifiers(frames: list[tuple[DataFrame, str]]) -> DataFrame:
+def identifiers(frames: list[tuple[DataFrame, str]], hash_len: int = 8, key: str | None = None) -> DataFrame:
     """The distinct normalized ids of several (frame, id column) and their pseudonyms: the crosswalk."""
     out = None
     for df, c in frames:
-        numeric = dict(df.dtypes)[c] in ("int", "bigint", "double")
-        one = df.filter(has_id(F.col(c), numeric)).select(normal_id(F.col(c)).alias("norm_id"))
+        one = df.filter(has_id(F.col(c), c in numeric_columns(df))).select(normal_id(F.col(c)).alias("norm_id"))
         out = one if out is None else out.unionByName(one)
-    return out.distinct().withColumn("pseudonym", pseudonym(F.col("norm_id")))
+    return out.distinct().withColumn("pseudonym", pseudonym(F.col("norm_id"), hash_len, key))
 
 
 def preview_rows(total: int) -> int:

@@ -35,6 +35,29 @@ def compare(c: Column, op: str, value: Any) -> Column:
     return {"$eq": c.__eq__, "$ne": c.__ne__, "$gt": c.__gt__, "$gte": c.__ge__, "$lt": c.__lt__, "$lte": c.__le__}[op](value)
 
 
+def kind_of(value: Any) -> str:
+    return "boolean" if isinstance(value, bool) else "number" if isinstance(value, int | float) else "text"
+
+
+def in_variant(variant: Column, key: str, op: str, value: Any) -> Column:
+    """A test of a variant's key. The values of $in and $nin may be of several types, and each is compared with values of its own only; a value of no type in an $nin list is
+    in none of it."""
+    if op not in ("$in", "$nin"):
+        c, same = typed(variant, key, value)
+        return same & compare(c, op, value)
+    groups: dict[str, list] = {}
+    for v in value:
+        groups.setdefault(kind_of(v), []).append(v)
+    inside = F.lit(False)
+    for values in groups.values():
+        c, same = typed(variant, key, values[0])
+        inside = inside | F.coalesce(same & c.isin(values), F.lit(False))
+    if op == "$in":
+        return inside
+    there, _ = typed(variant, key, "")
+    return there.isNotNull() & ~inside
+
+
 def one(df: DataFrame, key: str, test: Any, variant: str | None) -> Column:
     tests = test if isinstance(test, dict) else {"$eq": test}
     if not tests or any(op not in OPERATORS for op in tests):
@@ -46,9 +69,7 @@ def one(df: DataFrame, key: str, test: Any, variant: str | None) -> Column:
         elif variant is None:
             out.append(F.lit(False))
         else:
-            sample = value[0] if op in ("$in", "$nin") and value else value
-            c, same = typed(F.col(variant), key, sample)
-            out.append(same & compare(c, op, value))
+            out.append(in_variant(F.col(variant), key, op, value))
     return reduce(Column.__and__, out)
 
 

@@ -20,8 +20,8 @@ def is_spreadsheet(name: Column, mime: Column) -> Column:
     return F.coalesce(by_name, F.lit(False)) | F.coalesce(mime.isin(*[m for _, m in FORMATS.values()], *OTHER_MIME), F.lit(False))
 
 
-def is_allowed_size(n: Column) -> Column:
-    return n <= LARGEST
+def is_allowed_size(n: Column, largest: int = LARGEST) -> Column:
+    return n <= largest
 
 
 def is_image(mime: Column) -> Column:

@@ -7,14 +7,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carrel.functions import crypto, money, text, vector
 from carrel.operators import catalog, chunks, image, ledger, phi, search, uploads
-from carrel.session import spread, table
-from carrel.streaming.ledger import daily_credits
+from carrel.operators.predicates import blanks_dropped
+from carrel.session import scratch, spread, table
+from carrel.sources import blobs, workbook
+from carrel.streaming.ledger import daily_credits, ingest, kept, running_earnings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,9 +109,10 @@ def with_props(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("meta", F.parse_json("props"))
 
 
-@query("SELECT event_id, event_type FROM events WHERE json_extract_string(props, '$.ageRange') = '30-40'")
+@query("SELECT event_id, event_type FROM events WHERE json_extract_string(props, '$.ageRange') = '30-40' OR CAST(json_extract(props, '$.k') AS BIGINT) < 5")
 def filter_unknown_key(spark, sf_dir):
-    return search.filtered(with_props(spark, sf_dir), {"ageRange": "30-40"}, "meta").select("event_id", "event_type")
+    """A key that no row has matches nothing; the other side of the choice still does."""
+    return search.filtered(with_props(spark, sf_dir), {"$or": [{"ageRange": "30-40"}, {"k": {"$lt": 5}}]}, "meta").select("event_id", "event_type")
 
 
 @query("""SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
@@ -118,10 +122,13 @@ def filter_ops(spark, sf_dir):
     return search.filtered(with_props(spark, sf_dir), f, "meta").select("event_id", "event_type", F.try_variant_get("meta", "$.k", "long").alias("k"))
 
 
-@query("SELECT event_id FROM events WHERE json_type(json_extract(props, '$.k')) = 'VARCHAR'")
+@query("""SELECT event_id, k FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE CASE WHEN event_id % 3 = 0 THEN k < 50 ELSE k >= 50 END""")
 def filter_typed(spark, sf_dir):
-    """A number is not its text: "7" matches no 7."""
-    return search.filtered(with_props(spark, sf_dir), {"k": {"$in": [str(i) for i in range(100)]}}, "meta").select("event_id")
+    """A number is not its text: of a list of texts below 50 and numbers from 50 up, each matches its own type."""
+    e = table(spark, sf_dir, "events").withColumn("as_text", F.regexp_replace("props", r"(\d+)", '"$1"'))
+    e = e.withColumn("meta", F.parse_json(F.when(F.col("event_id") % 3 == 0, F.col("as_text")).otherwise(F.col("props"))))
+    found = search.filtered(e, {"k": {"$in": [*[str(i) for i in range(50)], *range(50, 100)]}}, "meta")
+    return found.select("event_id", F.try_variant_get("meta", "$.k", "string").cast("long").alias("k"))
 
 
 def _wid(x: str) -> str:
@@ -381,25 +388,168 @@ def ocr_word_mask(spark, sf_dir):
 
 @query("""SELECT doc_id, 'b' || sha256(text) AS cid, TRUE AS fetched FROM documents""")
 def blob_roundtrip(spark, sf_dir):
-    from carrel.sources import blobs
-
     d = table(spark, sf_dir, "documents").select("doc_id", blobs.encoded(F.col("text").cast("binary")).alias("b64"), "text")
     back = blobs.decoded(F.col("b64"))
     return d.select("doc_id", blobs.cid(back).alias("cid"), (back.cast("string") == F.col("text")).alias("fetched"))
 
 
+def streamed(spark, sf_dir, name) -> DataFrame:
+    """One of the tables as a stream of all its files: a single file, or a folder, however nested."""
+    batch = table(spark, sf_dir, name)
+    one_file = batch.inputFiles()[0].endswith(f"/{name}.parquet")
+    s = spark.readStream.schema(batch.schema)
+    return s.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if one_file else s.option("recursiveFileLookup", "true").parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drained(df: DataFrame, mode: str) -> DataFrame:
+    """The result of a stream that is run to its end, in a memory table; for small results."""
+    name = f"stream_{uuid.uuid4().hex}"
+    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.table(name)
+
+
 @query("""SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS credits, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events WHERE event_type = 'purchase' GROUP BY 1""")
 def stream_credit_daily(spark, sf_dir):
     """A stream over the events, run to its end into a memory table (a row for each day)."""
-    batch = table(spark, sf_dir, "events")
-    folder, _, file = batch.inputFiles()[0].rpartition("/")
-    one_file = file.startswith("events.parquet")
-    s = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet" if one_file else "*.parquet").parquet(folder)
+    s = streamed(spark, sf_dir, "events")
     out = daily_credits(s.withColumn("value", F.round(F.col("value") * 100).cast("long")))
-    name = f"credits_{uuid.uuid4().hex}"
-    q = out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.to_date("day").alias("day"), "credits", F.col("total").alias("cents"))
+    return drained(out, "complete").select(F.to_date("day").alias("day"), "credits", F.col("total").alias("cents"))
+
+
+@query("""SELECT user_id AS owner, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS earned FROM events WHERE event_type = 'purchase' GROUP BY user_id""")
+def stream_running_earnings(spark, sf_dir):
+    """The state of a stream after its last event: a row for each owner, written to a table as it changes."""
+    s = streamed(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    running = running_earnings(s.select(F.col("user_id").alias("owner"), F.round(F.col("value") * 100).cast("long").alias("amount")))
+    folder = scratch(spark, "earnings")
+    kept(running, f"{folder}/state", f"{folder}/check").awaitTermination()
+    return spark.read.schema(running.schema).parquet(f"{folder}/state")
+
+
+@query("SELECT doc_id, sha256(text) AS sha, n_chars FROM documents")
+def stream_ingest(spark, sf_dir):
+    """A stream of documents appended to a catalogue."""
+    folder = scratch(spark, "ingest")
+    s = streamed(spark, sf_dir, "documents")
+    ingest(s.select("doc_id", "text", "n_chars"), f"{folder}/rows", f"{folder}/check").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "n_chars")
+
+
+def requests(spark, sf_dir) -> DataFrame:
+    """Documents as store requests; every third one states a cid of its own in its metadata."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    own = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("cid"), F.concat(F.lit("own-"), k)))
+    base = F.create_map(F.lit("cid"), F.concat(F.lit("c"), k), F.lit("dataset_title"), F.col("source"), F.lit("dataType"), F.col("lang"), F.lit("price"), F.col("n_chars").cast("string"))
+    return d.select(
+        F.col("doc_id").alias("seq"), F.concat(F.lit("c"), k).alias("cid"), F.col("source").alias("dataset_title"), F.col("text").alias("summary"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("tags"), F.to_json(catalog.merged_maps(base, own)).alias("meta"), (F.col("doc_id") * 1000).alias("added_ms"),
+    )
+
+
+_STORED = """(SELECT sha256(concat_ws(chr(1), 'c' || doc_id, source, CAST(doc_id AS VARCHAR))) AS id, doc_id AS seq, source AS title, lang, n_chars,
+  CASE WHEN doc_id % 3 = 0 THEN 'own-' || doc_id ELSE 'c' || doc_id END AS cid, doc_id * 1000 AS added_ms,
+  'Dataset Title: ' || source || chr(10) || text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Disease Tags: ' || lang ELSE '' END AS document FROM documents)"""
+
+
+@query(f"SELECT id, seq, title, sha256(document) AS sha, lang AS data_type, CAST(n_chars AS VARCHAR) AS price, cid AS meta_cid, added_ms FROM {_STORED}")
+def catalog_append(spark, sf_dir):
+    """Store requests appended in two batches to a catalogue that is opened before it is there, and read again; ids from what is stored, metadata overriding the request."""
+    path = scratch(spark, "catalog")
+    rows = catalog.stored(requests(spark, sf_dir))
+    assert catalog.open_catalog(spark, path).isEmpty()
+    for part in (0, 1):
+        catalog.append(rows.filter(F.col("seq") % 2 == part), path)
+    c = catalog.typed_view(catalog.open_catalog(spark, path))
+    return c.select(
+        F.col("doc_id").alias("id"), "seq", F.col("dataset_title").alias("title"), F.sha2(F.col("document").cast("binary"), 256).alias("sha"), "data_type", "price",
+        F.try_variant_get("metadata", "$.cid", "string").alias("meta_cid"), "added_ms",
+    )
+
+
+@query(f"SELECT id, cid, sha256(regexp_replace(regexp_extract(document, '(?s)^Dataset Title:\\s*.+?\\n(.+?)(?:\\nDisease Tags:|\\z)', 1), '^\\s+|\\s+$', '', 'g')) AS summary, title AS meta_title FROM {_STORED}")
+def hit_shape(spark, sf_dir):
+    """The columns of a hit: cid, summary and metadata out of what is stored."""
+    rows = catalog.stored(requests(spark, sf_dir))
+    hits = search.shaped(rows, "doc_id", F.try_variant_get("metadata", "$.cid", "string"), text.summary_of(F.col("document")), F.col("metadata"), False)
+    return hits.select("id", "cid", F.sha2(F.col("summary").cast("binary"), 256).alias("summary"), F.try_variant_get("metadata", "$.dataset_title", "string").alias("meta_title"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en'")
+def filter_blanks(spark, sf_dir):
+    """A form's filters without the fields that were left empty."""
+    form = {"lang": "en", "source": "", "gender": None, "tags": []}
+    return search.filtered(table(spark, sf_dir, "documents"), blanks_dropped(form)).select("doc_id")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'own' ELSE event_type END AS cid, CAST(user_id AS VARCHAR) AS title, event_id % 2 = 0 AS extra FROM events")
+def metadata_merge(spark, sf_dir):
+    base = F.create_map(F.lit("cid"), F.col("event_type"), F.lit("title"), F.col("user_id").cast("string"))
+    own = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("cid"), F.lit("own"), F.lit("extra"), F.lit("x")))
+    m = table(spark, sf_dir, "events").withColumn("m", catalog.merged_maps(base, own))
+    return m.select("event_id", F.try_element_at("m", F.lit("cid")).alias("cid"), F.try_element_at("m", F.lit("title")).alias("title"), F.map_contains_key("m", "extra").alias("extra"))
+
+
+@query("SELECT doc_id, n_chars * 4000000 AS bytes, n_chars * 4000000 <= 10737418240 AS allowed FROM documents")
+def size_gate(spark, sf_dir):
+    n = F.col("n_chars") * 4000000
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("bytes"), uploads.is_allowed_size(n).alias("allowed"))
+
+
+@query("""SELECT doc_id, printf('%.1f', floor(n_chars * 10 / 1024.0::DOUBLE + 0.5) / 10) AS kb, 'preview_file.' || doc_id AS preview,
+  CASE WHEN doc_id % 3 = 0 THEN '—' ELSE source END AS cell, CASE WHEN doc_id % 2 = 0 THEN 'Column ' || (doc_id + 1) ELSE lang END AS header, (doc_id + 1) / n_chars::DOUBLE * 100 AS progress FROM documents""")
+def shown_values(spark, sf_dir):
+    """Sizes, names, cells, headers and progress as they are shown."""
+    k = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", text.size_kb(F.col("n_chars")).alias("kb"), uploads.preview_name(F.concat(F.lit("file."), k.cast("string"))).alias("preview"),
+        text.preview_cell(F.when(k % 3 != 0, F.col("source"))).alias("cell"), text.header_label(F.when(k % 2 != 0, F.col("lang")).otherwise(F.lit("")), k).alias("header"),
+        crypto.progress(k, F.col("n_chars")).alias("progress"),
+    )
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS day, epoch_ms(ts) AS ms FROM events")
+def shown_dates(spark, sf_dir):
+    """Dates out of texts, null where a text is none; times as milliseconds."""
+    said = F.when(F.col("event_id") % 5 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.lit("no date"))
+    return table(spark, sf_dir, "events").select("event_id", text.local_date(said).alias("day"), F.unix_millis(F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC")).alias("ms"))
+
+
+@query("""SELECT doc_id, 'b' || sha256(text) AS cid, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents""")
+def blob_pin_fetch(spark, sf_dir):
+    """Documents pinned in a store and fetched by their ids."""
+    path = scratch(spark, "blobs")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("content"))
+    got = blobs.fetch(spark, path, blobs.pin(d, path))
+    return got.select(F.col("name").cast("long").alias("doc_id"), "cid", F.octet_length("content").cast("long").alias("bytes"))
+
+
+@query("SELECT doc_id, CAST(greatest(1, ceil(length(text) / 700.0)) AS BIGINT) AS n_chunks, CAST(octet_length(encode(text)) AS BIGINT) AS total_bytes FROM documents")
+def chunk_bytes(spark, sf_dir):
+    return chunks.total_bytes(chunks.cut(table(spark, sf_dir, "documents"), "doc_id", "text", F.lit(700)), "doc_id")
+
+
+@query("""WITH b AS (SELECT r_regionkey AS k, r_name || '.' || ['xlsx', 'ods', 'xls', 'xlsb', 'xlsm'][r_regionkey + 1] AS file FROM region)
+SELECT file, 'nations' AS sheet, count(n_nationkey) AS total_rows, 2 AS total_columns, count(n_nationkey) AS masked FROM b LEFT JOIN nation ON n_regionkey = k GROUP BY file
+UNION ALL SELECT file, 'notes', 0, 0, 0 FROM b UNION ALL SELECT file, 'heads', 0, 3, 0 FROM b""")
+def workbook_roundtrip(spark, sf_dir):
+    """A workbook for each region, each in another format, with an empty sheet and one of headers only: written, read, masked, written and read again."""
+    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    kinds = F.array(*[F.lit(x) for x in ("xlsx", "ods", "xls", "xlsb", "xlsm")])
+    book = r.select(F.col("r_regionkey").alias("k"), F.concat("r_name", F.lit("."), F.get(kinds, F.col("r_regionkey"))).alias("file"))
+    head = lambda sheet, i, cells: book.select("file", F.lit(sheet).alias("sheet"), F.lit(i).alias("sheet_idx"), F.lit(0 if cells else None).cast("long").alias("row_idx"), F.array(*map(F.lit, cells)).cast("array<string>").alias("cells"))
+    row = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).cast("long")
+    body = n.withColumn("row_idx", row).join(book, F.col("n_regionkey") == F.col("k")).select(
+        "file", F.lit("nations").alias("sheet"), F.lit(0).alias("sheet_idx"), "row_idx", F.array("n_name", F.concat(F.lit("p"), F.col("n_nationkey").cast("string"))).alias("cells"))
+    rows = reduce(DataFrame.unionByName, [head("nations", 0, ["Nation", "Patient ID"]), body, head("notes", 1, []), head("heads", 2, ["a", "b", "c"])])
+    for step in ("in", "out"):
+        folder = scratch(spark, f"books-{step}")
+        blobs.write_files(workbook.workbook_files(rows), folder)
+        rows = workbook.read_workbooks(spark, folder)
+        if step == "in":
+            rows = phi.masked_cells(workbook.with_headers(rows)).drop("headers")
+    rows = rows.withColumn("file", F.element_at(F.split("file", "/"), -1))
+    masked = rows.groupBy("file", "sheet").agg(F.count_if(F.exists("cells", lambda c: c.rlike("^WID_[0-9a-f]{8}$"))).alias("masked"))
+    return workbook.sheet_shapes(rows).join(masked, ["file", "sheet"]).select("file", "sheet", "total_rows", "total_columns", "masked")
 
 
 @query("SELECT 'healthy' AS status, TRUE AS embedder, FALSE AS redactor")

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -50,6 +51,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder that spark.checkpoint.dir names; a temporary one only where none is set (tests, one machine)."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="carrel-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+        at = sc.getCheckpointDir()
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 _shipped: set[str] = set()
 
 

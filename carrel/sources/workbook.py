@@ -1,7 +1,7 @@
 """Spreadsheet files as long rows (file, sheet, sheet_idx, row_idx, cells), row 0 the header; and back.
 
-csv and tsv are parsed by whole files as workbooks of one sheet; xlsx and xlsm are zip archives of XML, ods likewise, read with the standard library. xls and xlsb are binary formats
-without a reader here and raise. A file is read by one task, since its rows depend on what stands before; large flat data belongs in ``read_delimited``, which Spark splits.
+csv and tsv are parsed by whole files as workbooks of one sheet; xlsx and xlsm are zip archives of XML, ods likewise, read with the standard library; the binary formats xls and
+xlsb are in ``binary_sheets``. A sheet without rows is one row whose row_idx and cells are null, so that it is written again. A file is read by one task, since its rows depend on what stands before; large flat data belongs in ``read_delimited``, which Spark splits.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
@@ -19,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrel.operators.uploads import LARGEST, is_spreadsheet
+from carrel.operators.uploads import LARGEST, is_allowed_size, is_spreadsheet
+from carrel.sources.binary_sheets import COMPOUND, ods_bytes, xls_bytes, xls_sheets, xlsb_bytes, xlsb_sheets
 
 ROWS = "file string, sheet string, sheet_idx int, row_idx long, cells array<string>"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -56,6 +58,15 @@ def date_text(v: str) -> str:
     return (t + timedelta(microseconds=500)).replace(microsecond=0).isoformat(sep=" ")
 
 
+def is_date(place: int, pattern: str | None) -> bool:
+    """Whether a number format shows dates: a built-in one by its place, another by its pattern."""
+    return place in DATE_FORMATS if pattern is None else re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", pattern), re.I) is not None and pattern.lower() != "general"
+
+
+def shown(x: float, date: bool) -> str:
+    return date_text(repr(x)) if date else number_text(repr(x))
+
+
 def xlsx_sheets(data: bytes) -> Sheets:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
@@ -64,9 +75,10 @@ def xlsx_sheets(data: bytes) -> Sheets:
         dates: set[int] = set()
         if "xl/styles.xml" in names:
             styles = xml("xl/styles.xml")
-            own = {int(f.get("numFmtId")) for f in styles.iter(f"{MAIN}numFmt") if re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "")), re.I)}
+            own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(f"{MAIN}numFmt")}
             cells = styles.find(f"{MAIN}cellXfs")
-            dates = {i for i, x in enumerate(cells if cells is not None else []) if int(x.get("numFmtId", 0)) in DATE_FORMATS | own}
+            formats = [int(x.get("numFmtId", 0)) for x in (cells if cells is not None else [])]
+            dates = {i for i, f in enumerate(formats) if is_date(f, own.get(f))}
         targets = {r.get("Id"): r.get("Target") for r in xml("xl/_rels/workbook.xml.rels")}
         out: Sheets = []
         for s in xml("xl/workbook.xml").iter(f"{MAIN}sheet"):
@@ -98,6 +110,13 @@ def xlsx_sheets(data: bytes) -> Sheets:
         return out
 
 
+def paragraph(p: ElementTree.Element) -> str:
+    """The text of a paragraph of an OpenDocument file, whose runs of spaces, tabs and breaks are elements."""
+    marks = {f"{TEXT}s": " ", f"{TEXT}tab": "\t", f"{TEXT}line-break": "\n"}
+    inner = lambda e: marks[e.tag] * int(e.get(f"{TEXT}c", 1)) if e.tag in marks else paragraph(e)
+    return (p.text or "") + "".join(inner(e) + (e.tail or "") for e in p)
+
+
 def ods_sheets(data: bytes) -> Sheets:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         root = ElementTree.fromstring(z.read("content.xml"))
@@ -110,7 +129,7 @@ def ods_sheets(data: bytes) -> Sheets:
                 if c.tag not in (f"{TABLE}table-cell", f"{TABLE}covered-table-cell"):
                     continue
                 kind = c.get(f"{OFFICE}value-type")
-                text = "\n".join("".join(p.itertext()) for p in c.iter(f"{TEXT}p"))
+                text = "\n".join(paragraph(p) for p in c.iter(f"{TEXT}p"))
                 value = None if kind is None and not text else number_text(c.get(f"{OFFICE}value")) if kind == "float" else c.get(f"{OFFICE}date-value") if kind == "date" else text
                 n = int(c.get(f"{TABLE}number-columns-repeated", 1))
                 cells += [value] * (n if value is not None or n < PADDING else 0)
@@ -137,32 +156,51 @@ def sheets(name: str, data: bytes) -> Sheets:
         if "content.xml" in names:
             return ods_sheets(data)
         if "xl/workbook.bin" in names:
-            raise ValueError(f"{name}: xlsb is not supported")
+            return xlsb_sheets(data, shown, is_date)
         return xlsx_sheets(data)
-    if data[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
-        raise ValueError(f"{name}: xls is not supported")
+    if data[:8] == COMPOUND:
+        try:
+            return xls_sheets(data, shown, is_date)
+        except (struct.error, IndexError) as e:
+            raise ValueError(f"{name}: damaged") from e
     if ext in ("csv", "tsv", "txt"):
         return delimited_sheets(data, "\t" if ext != "csv" else ",")
     raise ValueError(f"{name}: not a spreadsheet")
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """ROWS of all spreadsheets below a path. Files of another type, or above the limit, are left out."""
+def read_workbooks(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
+    """ROWS of all spreadsheets below a path. Files of another type, or above the limit, are left out; ``refused_files`` names them."""
     files = spark.read.format("binaryFile").load(path)
-    files = files.filter(is_spreadsheet(F.col("path"), F.lit(None).cast("string")) & (F.col("length") <= LARGEST)).select("path", "content")
+    files = files.filter(is_spreadsheet(F.col("path"), F.lit(None).cast("string")) & is_allowed_size(F.col("length"), largest)).select("path", "content")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, data in zip(b.path, b.content, strict=True):
                 for k, (sheet, rows) in enumerate(sheets(p, bytes(data))):
+                    if not rows:
+                        yield pd.DataFrame({"file": [p], "sheet": [sheet], "sheet_idx": [k], "row_idx": pd.array([None], "Int64"), "cells": [None]})
                     for at in range(0, len(rows), 10_000):
                         part = rows[at : at + 10_000]
                         n = len(part)
-                        yield pd.DataFrame({"file": [p] * n, "sheet": [sheet] * n, "sheet_idx": [k] * n, "row_idx": range(at, at + n), "cells": part})
+                        yield pd.DataFrame({"file": [p] * n, "sheet": [sheet] * n, "sheet_idx": [k] * n, "row_idx": pd.array(range(at, at + n), "Int64"), "cells": part})
 
     return files.mapInPandas(task, ROWS)
 
 
+def refused_files(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
+    """(file, length, error) of the files below a path that ``read_workbooks`` leaves out: ``type`` or ``size``. Contents are not read."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    error = F.when(~is_spreadsheet(F.col("file"), F.lit(None).cast("string")), "type").when(~is_allowed_size(F.col("length"), largest), "size")
+    return files.withColumn("error", error).filter("error IS NOT NULL")
+
+
+def sheet_shapes(rows: DataFrame) -> DataFrame:
+    """(file, sheet, sheet_idx, total_rows, total_columns) of ROWS: rows without the header, and headers; 0 and 0 for an empty sheet."""
+    columns = F.max(F.when(F.col("row_idx") == 0, F.size("cells")))
+    g = rows.groupBy("file", "sheet", "sheet_idx").agg(F.count_if(F.col("row_idx") > 0).alias("total_rows"), columns.alias("total_columns"))
+    return g.withColumn("total_columns", F.coalesce("total_columns", F.lit(0)))
+
+
 def with_headers(rows: DataFrame) -> DataFrame:
     """ROWS with the header row of their sheet beside each row. Headers are one row for each sheet."""
     heads = rows.filter("row_idx = 0").select("file", "sheet_idx", F.col("cells").alias("headers"))
@@ -200,7 +238,7 @@ def xlsx_bytes(book: Sheets) -> bytes:
 
 
 def file_bytes(name: str, book: Sheets) -> bytes:
-    """A workbook in the format of its name; xlsx where that cannot be written."""
+    """A workbook in the format of its name; xlsx where that is not known."""
     ext = name.rpartition(".")[2].lower()
     if ext in ("csv", "tsv"):
         out = io.StringIO()
@@ -208,17 +246,15 @@ def file_bytes(name: str, book: Sheets) -> bytes:
         for r in book[0][1] if book else []:
             w.writerow(["" if v is None else v for v in r])
         return out.getvalue().encode()
-    if ext in ("xls", "xlsb", "ods"):
-        raise ValueError(f"{name}: writing {ext} is not supported")
-    return xlsx_bytes(book)
+    return {"xls": xls_bytes, "xlsb": xlsb_bytes, "ods": ods_bytes}.get(ext, xlsx_bytes)(book)
 
 
 def workbook_files(rows: DataFrame) -> DataFrame:
-    """(file, content): ROWS put together to one file each, in sheet and row order."""
+    """(file, content): ROWS put together to one file each, in sheet and row order; sheets without rows too."""
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["sheet_idx", "row_idx"])
-        book = [(g.sheet.iloc[0], [list(c) if c is not None else [] for c in g.cells]) for _, g in pdf.groupby("sheet_idx")]
+        book = [(g.sheet.iloc[0], [list(c) if c is not None else [] for c in g.cells[g.row_idx.notna()]]) for _, g in pdf.groupby("sheet_idx")]
         return pd.DataFrame({"file": [pdf.file.iloc[0]], "content": [file_bytes(pdf.file.iloc[0], book)]})
 
     return rows.groupBy("file").applyInPandas(task, "file string, content binary")

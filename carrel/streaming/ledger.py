@@ -28,3 +28,12 @@ def ingest(requests: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return requests.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept(state: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the whole state of a running aggregate as a table at a path. Each batch overwrites it, so a batch that is run again does no harm."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return state.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

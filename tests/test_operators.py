@@ -1,16 +1,19 @@
 """Catalogue, search, privacy, ledger, chunks, images, sources and streams."""
 
 import hashlib
+import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from carrel.functions import png
 from carrel.functions.text import pseudonym
 from carrel.functions.vector import HashingEmbedder
 from carrel.operators import catalog, chunks, image, ledger, phi, predicates, search
-from carrel.sources import blobs, workbook
+from carrel.sources import binary_sheets, blobs, workbook
 from carrel.streaming import ledger as streams
 
 
@@ -213,6 +216,15 @@ def test_periods_change_no_purchase(spark, rows):
     assert sorted(ledger.purchases(e).collect(), key=lambda r: r.seq) == sorted(ledger.purchases(e, F.floor(F.col("seq") / 4)).collect(), key=lambda r: r.seq)
 
 
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("xyz"), st.integers(0, 3)), max_size=12))
+def test_listings_are_numbered(spark, rows):
+    e = spark.createDataFrame([(i, "list", f"d{n}", a, 1) for i, (a, n) in enumerate(rows)], "seq long, kind string, doc string, actor string, amount long")
+    want = sorted((a, [b for b, _ in rows[: i + 1]].count(a), f"d{n}") for i, (a, n) in enumerate(rows))
+    for period in (None, F.floor(F.col("seq") / 3)):
+        assert sorted((r.owner, r.place, r.doc) for r in ledger.listed(e, period).collect()) == want
+
+
 def test_withdrawals(spark):
     rows = [(1, "a", "withdraw", 0), (2, "a", "credit", 5), (3, "a", "withdraw", 0), (4, "a", "withdraw", 0), (5, "a", "credit", 2), (6, "b", "credit", 4)]
     b = ledger.balances(spark.createDataFrame(rows, "seq long, owner string, kind string, amount long"))
@@ -240,6 +252,11 @@ def test_chunks(spark):
     assert cut.o is None
 
 
+def test_bytes_of_chunks(spark):
+    d = spark.createDataFrame([(1, "x" * 10), (2, ""), (3, "éé")], "k long, t string")
+    assert {r.k: (r.n_chunks, r.total_bytes) for r in chunks.total_bytes(chunks.cut(d, "k", "t", F.lit(4)), "k").collect()} == {1: (3, 10), 2: (1, 0), 3: (1, 4)}
+
+
 def test_blobs(spark, tmp_path):
     d = spark.createDataFrame([("a", b"1"), ("b", b"2"), ("c", b"1")], "name string, content binary")
     ids = {r.name: r.cid for r in blobs.pin(d, str(tmp_path / "b")).collect()}
@@ -269,6 +286,50 @@ def test_image_redactor_is_plugged_in(spark, tmp_path):
     assert bytes(r.content) == b"blackx"
 
 
+@pytest.mark.parametrize(("colour", "bits"), [(0, 1), (0, 8), (2, 8), (3, 4), (4, 8), (6, 8)])
+@pytest.mark.parametrize("kind", range(5))
+def test_png_kinds_and_filters(colour, bits, kind):
+    import struct
+    import zlib
+
+    r = np.random.default_rng(kind)
+    n, width, height = png.CHANNELS[colour], 7, 5
+    values = r.integers(0, min(1 << bits, 6 if colour == 3 else 256), (height, width, n), np.uint8)
+    packed = values.reshape(height, -1) if bits == 8 else np.packbits(((values.reshape(height, -1)[:, :, None] >> np.arange(bits)[::-1]) & 1).reshape(height, -1), axis=1)
+    bpp, lines, above = max(1, n * bits // 8), b"", np.zeros(packed.shape[1], int)
+    for line in packed.astype(int):
+        left, corner = (np.concatenate([np.zeros(bpp, int), x[:-bpp]]) for x in (line, above))
+        p = left + above - corner
+        paeth = np.where((abs(p - left) <= abs(p - above)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - above) <= abs(p - corner), above, corner))
+        lines += bytes([kind]) + ((line - [0 * line, left, above, (left + above) // 2, paeth][kind]) & 255).astype(np.uint8).tobytes()
+        above = line
+    palette = r.integers(0, 256, (6, 3), np.uint8)
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    data = png.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, bits, colour, 0, 0, 0)) + chunk(b"PLTE", palette.tobytes()) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    want = palette[values[:, :, 0]] if colour == 3 else values[:, :, :3] if colour in (2, 6) else np.repeat(values[:, :, :1] * (255 // ((1 << bits) - 1)), 3, axis=2)
+    assert (png.decode(data) == want).all() and (png.decode(png.encode(want)) == want).all()
+
+
+def test_words_are_painted_over(spark, tmp_path):
+    class Reader:
+        def words(self, pixels):
+            return [("Ann", 0, 0, 2, 2), ("met", 2, 0, 2, 2), ("Bob", 4, 0, 2, 2), ("Lee", 6, 0, 9, 9)]
+
+    class Names:
+        def entities(self, text):
+            return [("Ann", "PERSON"), ("Bob Lee", "PERSON"), ("met", "CARDINAL")] if "Ann" in text else []
+
+    white = np.full((4, 8, 3), 255, np.uint8)
+    (tmp_path / "a.png").write_bytes(png.encode(white))
+    (tmp_path / "b.png").write_bytes(b"broken")
+    files = blobs.images(spark, str(tmp_path))
+    for strict, columns in ((False, [0, 1]), (True, [0, 1, 4, 5, 6, 7])):
+        got = {r.path.rpartition("/")[2]: r for r in image.redacted_words(files, Reader(), Names(), strict).collect()}
+        dark = png.decode(bytes(got["a.png"].content)).sum(axis=2)[0] == 0
+        assert np.flatnonzero(dark).tolist() == columns and got["a.png"].error is None
+        assert got["b.png"].content is None and "PNG" in got["b.png"].error
+
+
 # workbooks -------------------------------------------------------------------------------------------------------------------------------------
 BOOK = [("One & only", [["Patient ID", "Phone"], ["P1", "<5>"], [None, "6", "7"]]), ("Empty", []), ("Head", [["Name"]])]
 
@@ -284,8 +345,71 @@ def test_delimited_files_and_types():
     for name, data in (("a.xls", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"), ("a.bin", b"x")):
         with pytest.raises(ValueError):
             workbook.sheets(name, data)
-    with pytest.raises(ValueError):
-        workbook.file_bytes("a.xlsb", BOOK)
+
+
+TEXTS = [("One & only", [["Patient ID", "Phone"], ["P1", "<5>  two  spaces\ttab\nline"], [None, "6é漢😀", "7"]]), ("Empty", []), ("Head", [["Name"]])]
+
+
+@pytest.mark.parametrize("kind", ["xls", "xlsb", "ods", "xlsx", "xlsm"])
+def test_every_format_round_trips(kind):
+    assert workbook.sheets(f"a.{kind}", workbook.file_bytes(f"a.{kind}", TEXTS)) == TEXTS
+    assert workbook.sheets(f"a.{kind}", workbook.file_bytes(f"a.{kind}", [("none", [])])) == [("none", [])]
+
+
+def test_xls_strings_run_over_records_and_files_over_tables():
+    r = random.Random(3)
+    rows = [["".join(r.choice("aé漢") for _ in range(r.choice([3, 40, 9000]))) for _ in range(5)] for _ in range(60)]
+    assert workbook.sheets("a.xls", workbook.file_bytes("a.xls", [("long", rows)])) == [("long", rows)]
+    stream = bytes(r.randrange(256) for _ in range(1000)) * 9000  # 9 MB: more sectors than the header's list of tables holds
+    assert binary_sheets.compound_stream(binary_sheets.compound_file("Workbook", stream), "Workbook")[: len(stream)] == stream
+    for rows in ([["x"]] * 65537, [["x"] * 257], [["x" * 32768]]):
+        with pytest.raises(ValueError):
+            workbook.file_bytes("a.xls", [("s", rows)])
+
+
+def xls_of(records):
+    """An xls with one sheet of the given records."""
+    import struct
+
+    record = lambda kind, body=b"": struct.pack("<HH", kind, len(body)) + body
+    start = lambda kind: record(0x0809, struct.pack("<HHHHII", 0x0600, kind, 0, 0, 0, 6))
+    head = start(5) + record(0x041E, struct.pack("<HHB", 164, 10, 0) + b"yyyy-mm-dd") + b"".join(record(0xE0, struct.pack("<HH16x", 0, f)) for f in (0, 14, 164))
+    bound = lambda at: record(0x85, struct.pack("<IBBBB", at, 0, 0, 1, 0) + b"S")
+    head += bound(len(head) + len(bound(0)) + 4) + record(0x0A)
+    return binary_sheets.compound_file("Workbook", head + start(0x10) + b"".join(record(k, b) for k, b in records) + record(0x0A))
+
+
+def test_xls_cells_of_all_kinds():
+    import struct
+
+    cell = lambda c, style=0, r=0: struct.pack("<HHH", r, c, style)
+    got = workbook.sheets("a.xls", xls_of([
+        (0x0203, cell(0) + struct.pack("<d", 7.0)), (0x0203, cell(1, 1) + struct.pack("<d", 45000.5)), (0x027E, cell(2) + struct.pack("<I", (250 << 2) | 3)),
+        (0xBD, struct.pack("<HH", 0, 3) + struct.pack("<HI", 0, (5 << 2) | 2) + struct.pack("<HI", 2, (45000 << 2) | 2) + struct.pack("<H", 4)),
+        (0x0204, cell(5) + struct.pack("<HB", 2, 0) + b"ab"), (0x0205, cell(6) + b"\1\0"), (0x0205, cell(7) + b"\x07\1"),
+        (0x06, cell(8) + struct.pack("<d", 1.5) + b"\0" * 8), (0x06, cell(9) + b"\0\0\0\0\0\0\xff\xff" + b"\0" * 8), (0x0207, struct.pack("<HB", 1, 1) + "é".encode("utf-16-le")),
+        (0x06, cell(10) + b"\1\0\1\0\0\0\xff\xff" + b"\0" * 8), (0x027E, cell(1, 0, 2) + struct.pack("<I", 0xFFFFFFFE)),
+    ]))
+    assert got == [("S", [["7", "2023-03-15 12:00:00", "2.5", "5", "2023-03-15 00:00:00", "ab", "true", "#DIV/0!", "1.5", "é", "true"], [], [None, "-1"]])]
+
+
+def test_refused_files_and_shapes(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"a,b\n1,2\n3,4\n")
+    (tmp_path / "b.csv").write_bytes(b"x" * 100)
+    (tmp_path / "c.txt").write_bytes(b"no")
+    (tmp_path / "d.ods").write_bytes(workbook.file_bytes("d.ods", [("E", [])])[:50])  # damaged, above the limit too
+    at = str(tmp_path)
+    assert {(r.file.rpartition("/")[2], r.error) for r in workbook.refused_files(spark, at, 40).collect()} == {("b.csv", "size"), ("c.txt", "type"), ("d.ods", "size")}
+    assert [(r.total_rows, r.total_columns) for r in workbook.sheet_shapes(workbook.read_workbooks(spark, at, 40)).collect()] == [(2, 2)]
+
+
+def test_empty_sheets_pass(spark, tmp_path):
+    (tmp_path / "a.xls").write_bytes(workbook.file_bytes("a.xls", TEXTS))
+    rows = workbook.with_headers(workbook.read_workbooks(spark, str(tmp_path)))
+    (r,) = workbook.workbook_files(phi.masked_cells(rows, key="k").drop("headers")).collect()
+    book = workbook.sheets("a.xls", bytes(r.content))
+    assert [n for n, _ in book] == ["One & only", "Empty", "Head"] and book[1][1] == [] and book[2][1] == [["Name"]]
+    assert book[0][1][1][0] == "WID_" + hashlib.sha256(b"k\0p1").hexdigest()[:8]
 
 
 def test_ods():
@@ -336,6 +460,20 @@ def test_streams(spark, tmp_path):
     assert {r.owner: r.earned for r in spark.table("earned").collect()} == {"purchase": 8, "view": 9}
 
 
+def test_zero_ids_are_none_in_every_numeric_type(spark):
+    for kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal(9,2)"):
+        d = spark.sql(f"SELECT CAST(x AS {kind}) AS id, 'n' AS name FROM VALUES (0), (7) AS t(x)")
+        assert [r.norm_id for r in phi.identifiers([(d, "id")]).collect()] == ["7"], kind
+        assert [r.name.startswith("WID_") for r in phi.masked(d, {"id": "Patient ID"}).collect()] == [False, True]
+
+
+def test_lists_of_several_types(spark):
+    d = spark.createDataFrame([(1, '{"k": 7}'), (2, '{"k": "7"}'), (3, '{"k": true}'), (4, "{}"), (5, '{"k": 8}')], "i long, m string").withColumn("m", F.parse_json("m"))
+    ids = lambda f: [r.i for r in search.filtered(d, f, "m").orderBy("i").collect()]
+    assert ids({"k": {"$in": ["7", 8]}}) == [2, 5] and ids({"k": {"$in": [7, True]}}) == [1, 3] and ids({"k": {"$in": []}}) == []
+    assert ids({"k": {"$nin": ["7", 8]}}) == [1, 3] and ids({"k": {"$nin": []}}) == [1, 2, 3, 5]
+
+
 def test_pseudonyms_agree_across_frames(spark):
     a, b = spark.createDataFrame([("P1",), ("",)], "x string"), spark.createDataFrame([(" p1",), ("2",)], "y string")
     assert {(r.norm_id, r.pseudonym) for r in phi.identifiers([(a, "x"), (b, "y")]).collect()} == {("p1", wid("p1")), ("2", wid("2"))}
