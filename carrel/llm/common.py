@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carrel.session import spread
+
+__all__ = ["WORD", "ascii_lower", "fold", "n_words", "scratch", "shared_dir", "spread", "table", "written"]
+
 #: Words of most contracts: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 

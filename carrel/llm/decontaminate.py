@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrel.llm.common import ascii_lower, table, written
+from carrel.llm.common import ascii_lower, spread, table, written
 from carrel.llm.wordhash import ALNUM, gram_hashes, normal, word_hashes
 
 K, WINDOW = 5, 10
@@ -226,7 +226,7 @@ def united(spans: Column) -> Column:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items, windows of 10 words."""
-    d = contaminated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    d = contaminated_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return d.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),

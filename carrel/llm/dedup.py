@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrel.llm.common import table, written
+from carrel.llm.common import spread, table, written
 from carrel.llm.wordhash import SPACED, digest, gram_hashes, mix, normal, powers, word_hashes
 
 BANDS, ROWS = 32, 5
@@ -361,7 +361,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, leaders
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, two-word shingles, similarity 0.8."""
-    d = near_duplicates(table(spark, sf_dir, "documents"), k=2, threshold=0.8)
+    d = near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), k=2, threshold=0.8)
     return d.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrel.llm.common import table, written
+from carrel.llm.common import spread, table, written
 from carrel.llm.wordhash import gram_hashes, word_hashes
 
 MIN_TOKENS = 8
@@ -293,7 +293,7 @@ def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
-    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return main_text(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def suffix_array_runs(streams: dict[int, list[str]], n: int) -> dict[int, list[int]]:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrel.llm.common import fold, table, written
+from carrel.llm.common import fold, spread, table, written
 from carrel.llm.wordhash import SPACED, block_hashes, normal
 
 ORDER = 5
@@ -469,4 +469,4 @@ class Trie:
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by the model of those whose crc32 is not 1 modulo 5."""
-    return corpus_scores(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1)
+    return corpus_scores(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), fold(F.col("doc_id"), 5) == 1)

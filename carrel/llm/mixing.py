@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carrel.llm.common import n_words, table, written
+from carrel.llm.common import n_words, spread, table, written
 
 #: Buckets of a step of the search for the end of a sample, and the steps.
 DIGIT, STEPS = 256, 5
@@ -124,7 +124,7 @@ def mix(
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of documents mixed by weights 5, 2, 1 to 150 % of all words."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "inclusion")
+    return mix(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))).select("doc_id", "size", "source_size", "target", "taken", "inclusion")
 
 
 #: Rows of a table or CTE named docs(doc_id, source, size), mixed the same way.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrel.llm.common import fold, table, written
+from carrel.llm.common import fold, spread, table, written
 from carrel.llm.wordhash import U, block_hashes, gram_hashes, mix
 
 PASSAGE = 32
@@ -34,6 +34,8 @@ TRAIN_PASSAGES = 64
 LONG_BYTES = 4 << 20
 #: Hash buckets of words, and of letter triples.
 BUCKETS = 64
+#: How many times smaller the features of content are made than those of form, of which there are fewer: few labels then do not fit chance words.
+CONTENT = 4.0
 THRESHOLD = 0.7
 
 #: Byte classes: white space, upper, lower, digit, full stop and comma, exclamation and question, bar, line feed, beyond ASCII, other symbols.
@@ -114,7 +116,8 @@ def passages(a: np.ndarray, h: np.ndarray, starts: np.ndarray, again: list[np.nd
     of = np.zeros(len(a), np.int32)
     of[at[1:]] = 1
     by_triple = np.bincount(np.cumsum(of)[three] * BUCKETS + bucket, minlength=size * BUCKETS).reshape(size, BUCKETS)
-    shares = [by_word / w[:, None], by_triple / np.maximum(1, by_triple.sum(axis=1, keepdims=True))]
+    # of a whole passage's words, and over some triples more than there are, so that a few words say little
+    shares = [by_word / PASSAGE, by_triple / (by_triple.sum(axis=1, keepdims=True) + BUCKETS)]
     return np.concatenate([np.stack(cols, axis=1), *shares], axis=1).astype(np.float32)
 
 
@@ -234,6 +237,7 @@ class Model:
         """Adam on batches of 128 documents; docs: passage features and label."""
         every = np.concatenate([x for x, _ in docs])
         self.mean, self.scale = every.mean(axis=0), every.std(axis=0) + 1e-3
+        self.scale[-2 * BUCKETS :] *= CONTENT
         y = np.array([l for _, l in docs], float)
         share = y.mean()
         if not 0 < share < 1:
@@ -309,7 +313,7 @@ def corpus_model(spark: SparkSession, sf_dir: str) -> Model:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored; threshold 0.7."""
-    d = scored(table(spark, sf_dir, "documents").select("doc_id", "text"), corpus_model(spark, sf_dir))
+    d = scored(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), corpus_model(spark, sf_dir))
     return d.select(
         "doc_id", (fold(F.col("doc_id"), 4) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

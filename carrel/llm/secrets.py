@@ -24,7 +24,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrel.llm.common import table, written
+from carrel.llm.common import spread, table, written
 
 
 @dataclass(frozen=True)
@@ -252,7 +252,7 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SEC
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, base kinds and public formats."""
-    d = found_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = found_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     base = F.filter("spans", lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return d.select(

@@ -521,11 +521,11 @@ def plain_features(text):
         row += [np.log1p(len(mine)) / 4, np.log1p(n) / 10, float(n == 0)]
         by_word, by_triple = [0.0] * quality.BUCKETS, [0.0] * quality.BUCKETS
         for x in mine:
-            by_word[(word_hash(x) >> 32) % quality.BUCKETS] += 1 / w
+            by_word[(word_hash(x) >> 32) % quality.BUCKETS] += 1 / quality.PASSAGE
             low = x.lower()
             for k in range(len(x) - 2):
                 by_triple[triple(*low[k : k + 3]) % quality.BUCKETS] += 1
-        out.append(row + by_word + [x / max(1, sum(by_triple)) for x in by_triple])
+        out.append(row + by_word + [x / (sum(by_triple) + quality.BUCKETS) for x in by_triple])
     return np.array(out)
 
 
