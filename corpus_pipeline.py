@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next stage's docs. All but the last return the
 columns of documents.
 
-1. quality: documents that the classifier scores below ``REJECT`` go. It learns from the labels' training fold.
+1. quality: documents that the classifier scores below its ``THRESHOLD`` go. It learns from the labels' training fold.
 2. near_dedup: one row of each component of near duplicates stays, the one with the smallest doc_id, nulls last, and then the one whose other columns sort first
    (five-word shingles, similarity 0.8). Rows count by themselves where they share a doc_id or have none; of rows with the same doc_id and text one stays.
 3. decontaminate: documents that share a window of 10 words with a benchmark item go.
@@ -22,16 +22,14 @@ from carrel.llm.common import table, written
 from carrel.llm.decontaminate import contaminated_spans
 from carrel.llm.dedup import near_duplicates, only
 from carrel.llm.mixing import mix
-from carrel.llm.quality import corpus_model, scored
+from carrel.llm.quality import THRESHOLD, corpus_model, scored
 from carrel.llm.secrets import redacted
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents scored below are rejected; lower than the query's threshold, so that doubtful documents stay.
-REJECT = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return scored(docs.select(*COLUMNS), corpus_model(spark, sf_dir)).filter(F.col("score") >= REJECT).select(*COLUMNS)
+    return scored(docs.select(*COLUMNS), corpus_model(spark, sf_dir)).filter(F.col("score") >= THRESHOLD).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
