@@ -507,7 +507,7 @@ def shown_values(spark, sf_dir):
     )
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS day, epoch_ms(ts) AS ms FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS day, epoch_us(ts) // 1000 AS ms FROM events")
 def shown_dates(spark, sf_dir):
     """Dates out of texts, null where a text is none; times as milliseconds."""
     said = F.when(F.col("event_id") % 5 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.lit("no date"))

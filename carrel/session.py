@@ -46,9 +46,8 @@ def spread(df: DataFrame) -> DataFrame:
     A larger input, or one in more files, is left as it is, so nothing is shuffled that scans in parallel anyway.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * SPREAD_BYTES:
-        return df
-    return df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, as the planner knows it
+    return df if size > cores * SPREAD_BYTES or len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
