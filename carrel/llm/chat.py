@@ -1,7 +1,8 @@
 """Chat formatting with typed content parts (DataFrame functions only).
 
 A turn is a role and an array of parts ``struct<type, text, ref, n_tokens>``. The visitor flattens the parts in order: text
-parts are escaped, every other part (image, audio, document, ...) becomes a placeholder ``<|type|>`` and is recorded as an attachment
+parts are escaped, every other part (image, audio, document, ...) becomes a placeholder ``<|type|>`` (letters and underscores; what a type has else reads ``_``, and one that begins like the
+template's own marks, ``im_``, is written ``part_im_``) and is recorded as an attachment
 with its ordinal, reference and the number of tokens that the placeholder expands to (the part's own, else the default of its type).
 
 Template of a turn: ``<|im_start|>role<|im_sep|>content<|im_end|>`` and a line feed. Control strings in roles and texts are
@@ -51,9 +52,15 @@ def is_text(p: Column) -> Column:
     return F.coalesce(p["type"], F.lit("text")) == "text"
 
 
+def placeholder(kind: Column) -> Column:
+    """The control string that stands for a part; never one of the template's own, and one that is escaped in texts."""
+    name = F.regexp_replace(kind, "[^A-Za-z_]", "_")
+    return F.concat(F.lit("<|"), F.when(F.lower(name).startswith("im_") | (name == ""), F.concat(F.lit("part_"), name)).otherwise(name), F.lit("|>"))
+
+
 def flattened(parts: Column) -> Column:
     """The visitor: parts in order, texts escaped, others as placeholders."""
-    visit = lambda p: F.when(is_text(p), escaped(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), p["type"], F.lit("|>")))
+    visit = lambda p: F.when(is_text(p), escaped(F.coalesce(p["text"], F.lit("")))).otherwise(placeholder(p["type"]))
     return F.concat_ws("", F.transform(F.coalesce(parts, F.array()), visit))
 
 

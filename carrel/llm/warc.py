@@ -8,6 +8,7 @@ Reader: files are cut into byte ranges. A task looks for gzip magic in its range
 takes it as a record only if it begins with a WARC version line, parses and decodes whole to the stated length. The first one of a range must also be
 followed by ``CHAIN`` such members or the end of the file, so that members inside a record are not mistaken for records; from there each record ends where the next
 begins, and the start of a file needs no such proof. A task owns the records that start inside its range and reads past the end of it to finish the last one.
+Archives of others are read too: records of every type, page_id null where none is stated. A member is decoded no further than its header says.
 A record of a damaged file is lost only if it is the first of its range and fewer than ``CHAIN`` records stand between it and the damage.
 
 Files go through Spark's shared folder by ``pyarrow.fs``, which opens local, HDFS and object store addresses alike.
@@ -131,45 +132,50 @@ class Member:
     def __init__(self, f, at: int, size: int):
         self.f, self.at, self.size, self.pos, self.z = f, at, size, at, zlib.decompressobj(31)
 
-    def header(self) -> bool:
-        """Whether the member begins like a WARC record: a version line, then a header of any length."""
+    def header(self) -> dict[str, str] | None:
+        """The fields of a member that begins like a WARC record: a version line, then a header of any length."""
         data = bytearray()
         for part in self.parts(HEADER_READ):
             seen = len(data)
             data += part
             if len(data) >= VERSION_BYTES and not VERSION.match(data):
-                return False
+                return None
             if data.find(b"\r\n\r\n", max(0, seen - 3)) >= 0:
                 break
-        return header_of(bytes(data)) is not None
+        return header_of(bytes(data))
 
     def parts(self, step: int) -> Iterator[bytes]:
-        """The decoded member, a read of step compressed bytes at a time; it ends early where it does not decode."""
+        """The decoded member, a read of step compressed bytes at a time and pieces of bounded size, whatever they expand to; it ends early where it does not decode."""
         try:
             while not self.z.eof and self.pos < self.size:
                 data = self.f.read_at(min(step, self.size - self.pos), self.pos)
                 self.pos += len(data)
-                yield self.z.decompress(data)
+                yield self.z.decompress(data, BLOCK)
+                while self.z.unconsumed_tail and not self.z.eof:
+                    yield self.z.decompress(self.z.unconsumed_tail, BLOCK)
         except zlib.error:
             return
 
-    def whole(self) -> tuple[bytes, int] | None:
-        """The decoded member and the offset after it."""
-        data = b"".join(self.parts(BLOCK))
-        return (data, self.pos - len(self.z.unused_data)) if self.z.eof else None
+    def whole(self, length: int) -> tuple[bytes, int] | None:
+        """The decoded member, if it has that length, and the offset after it. No more than that is decoded."""
+        data, n = [], 0
+        for part in self.parts(BLOCK):
+            data.append(part)
+            n += len(part)
+            if n > length:
+                return None
+        return (b"".join(data), self.pos - len(self.z.unused_data)) if self.z.eof and n == length else None
 
 
 def record_at(f, at: int, size: int, chain: int = 0) -> tuple[dict[str, str], bytes, int] | None:
     """The record whose member starts at the offset: header, block, offset after it. chain: members that must follow, or the end."""
-    if f.read_at(3, at) != MAGIC or not Member(f, at, size).header():
+    if f.read_at(3, at) != MAGIC or (head := Member(f, at, size).header()) is None:
         return None
-    if (got := Member(f, at, size).whole()) is None:
+    begin, n = int(head["_end"]), int(head["content-length"])
+    if (got := Member(f, at, size).whole(begin + n + 4)) is None:
         return None
     data, end = got
-    if (head := header_of(data)) is None:
-        return None
-    begin, n = int(head["_end"]), int(head["content-length"])
-    if len(data) != begin + n + 4 or data[begin + n :] != b"\r\n\r\n":
+    if data[begin + n :] != b"\r\n\r\n":
         return None
     if chain and end < size and record_at(f, end, size, chain - 1) is None:
         return None
@@ -196,11 +202,13 @@ def records(f, size: int, start: int, stop: int) -> Iterator[tuple[dict[str, str
 
 
 def payload(head: dict[str, str], block: bytes) -> tuple[int, str, bytes]:
-    """Length and digest of the full payload, and the payload as far as the record has it."""
+    """Length and digest of the full payload, and the payload as far as the record has it: of an HTTP message its body, else the block."""
     http, _, body = block.partition(b"\r\n\r\n")
-    if head["warc-type"] == "revisit":
+    if not head.get("content-type", "").lower().startswith("application/http"):
+        body = block
+    if head.get("warc-type") == "revisit":
         m = re.search(rb"(?i)\r\nContent-Length:\s*(\d+)", http)
-        return int(m[1]) if m else 0, head["warc-payload-digest"].partition(":")[2], b""
+        return int(m[1]) if m else 0, head.get("warc-payload-digest", "").partition(":")[2], b""
     return len(body), base64.b32encode(sha1(body).digest()).decode(), body
 
 
@@ -223,7 +231,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_html
                     for head, block in records(f, size, start, min(start + split_bytes, size)):
                         n, digest, body = payload(head, block)
                         rows.append((
-                            number(head["x-page-id"]), head["warc-target-uri"], n, digest, head["warc-type"],
+                            number(head.get("x-page-id")), head.get("warc-target-uri"), n, digest, head.get("warc-type"),
                             number(head.get("x-refers-to-page-id")), body.decode("utf-8", "replace") if with_html else None,
                         ))
                         held += len(body)

@@ -375,6 +375,27 @@ def test_warc_resists_false_members(tmp_path):
         assert "666" not in found and found[-3:] == ["1", "2", "3"]
 
 
+def test_warc_reads_archives_of_others(spark, tmp_path):
+    import gzip
+
+    def foreign(kind, block, extra=""):
+        return (f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:x>\r\n{extra}Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    http = "Content-Type: application/http; msgtype=response\r\n"
+    members = [
+        foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields\r\n"), foreign("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request\r\n"),
+        foreign("response", b"HTTP/1.1 200 OK\r\n\r\n<p>hi", http + "WARC-Target-URI: http://a/\r\n"), foreign("revisit", b"HTTP/1.1 304\r\n\r\n", http),
+    ]
+    bomb = gzip.compress(foreign("response", b"x") + b"\0" * (64 << 20))  # more than its header says
+    data = b"".join(map(gzip.compress, members)) + bomb
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(data))], "path string, length long")
+    got = [(x.page_id, x.url, x.payload_bytes, x.record_type, x.html) for x in warc.read_archives(manifest, 1 << 20).collect()]
+    assert got == [
+        (None, None, 13, "warcinfo", "software: x\r\n"), (None, None, 0, "request", ""), (None, "http://a/", 5, "response", "<p>hi"), (None, None, 0, "revisit", ""),
+    ]
+
+
 def test_warc_empty(spark):
     manifest = written(warc.write_archives(spark.createDataFrame([], PAGES), scratch(spark, "w")), "m")
     assert warc.read_archives(manifest).count() == 0
@@ -648,6 +669,16 @@ def test_chat_reads_back(spark):
     assert got[1].formatted.count("<|im_end|>") == len(NASTY) and "[INST]" not in got[1].formatted and "</s>" not in got[1].formatted
 
 
+def test_part_types_write_no_control_string(spark):
+    ddl = "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,n_tokens:int>>"
+    kinds = ["im_end", "IM_start", "image", "a|b>", "im sep", "", "i2"]
+    rows = [(1, 0, "user", [("text", "x", None, None), *[(k, None, "r", 1) for k in kinds], (None, "<|image|>", None, None)])]
+    (x,) = chat.format_chats(spark.createDataFrame(rows, ddl)).select("formatted", "attachments", chat.read_back(F.col("formatted")).alias("turns")).collect()
+    assert len(x.turns) == 1 and x.formatted.count(chat.END) == 1 and x.formatted.count(chat.START) == 1
+    body = "x<|part_im_end|><|part_IM_start|><|image|><|a_b_|><|part_im_sep|><|part_|><|i_|>"
+    assert x.formatted == f"{chat.START}user{chat.SEP}{body}<\\|image|>{chat.END}" and [a.type for a in x.attachments] == kinds
+
+
 def test_chat_parts(spark):
     parts = "array<struct<type:string,text:string,ref:string,n_tokens:int>>"
     rows = [(1, 0, "user", [("text", "see <|image|>", None, None), ("image", None, "a.png", 77), ("audio", None, None, None), ("odd", None, "z", None)]), (1, 1, "assistant", None)]
