@@ -7,12 +7,31 @@ no owner. The full payment goes to the owner of the moment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UNKNOWN_PRICE = "Error"
 
 
+EVENTS = "seq long, kind string, doc string, actor string, amount decimal(38,0)"
+
+
+def append(events: DataFrame, path: str) -> None:
+    """Adds events to a ledger at a path. Nothing that was written is changed; amounts below zero and unknown kinds raise before anything is written."""
+    bad = events.filter((F.col("amount") < 0) | ~F.coalesce(F.col("kind").isin("list", "buy", "withdraw"), F.lit(False)) | F.col("seq").isNull())
+    if not bad.isEmpty():
+        raise ValueError("an event of no kind, without a place, or of a negative amount")
+    events.write.mode("append").parquet(path)
+
+
+def opened(spark: SparkSession, path: str, schema: str | StructType = EVENTS) -> DataFrame:
+    """The events of a ledger; empty where nothing was written yet."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
 def latest(events: DataFrame) -> DataFrame:
     """(doc, price, owner) as listed last. Partial aggregates, no sort."""
     e = events.filter(F.col("kind") == "list")

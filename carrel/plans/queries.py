@@ -277,6 +277,18 @@ def ledger_events(spark, sf_dir, buys: bool = False) -> DataFrame:
 _SEQ = "(l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice)"
 
 
+@query("""SELECT l_partkey AS doc, count(*) FILTER (l_returnflag <> 'R') AS listings, count(*) FILTER (l_returnflag = 'R') AS purchases, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amounts
+  FROM lineitem GROUP BY 1""")
+def ledger_append(spark, sf_dir):
+    """Listings, then purchases, appended to a ledger that is opened before it is there, and read again."""
+    path, e = scratch(spark, "ledger"), ledger_events(spark, sf_dir, True)
+    assert ledger.opened(spark, path, e.schema).isEmpty()
+    for kind in ("list", "buy"):
+        ledger.append(e.filter(F.col("kind") == kind), path)
+    count = lambda k: F.count_if(F.col("kind") == k)
+    return ledger.opened(spark, path, e.schema).groupBy("doc").agg(count("list").alias("listings"), count("buy").alias("purchases"), F.sum("amount").cast("double").alias("amounts"))
+
+
 @query(f"""SELECT l_partkey AS doc, CAST(arg_max(CAST(l_extendedprice AS DECIMAL(18,2)), {_SEQ}) AS DOUBLE) AS price, arg_max(l_suppkey, {_SEQ}) AS owner FROM lineitem GROUP BY 1""")
 def ledger_latest_price(spark, sf_dir):
     return ledger.latest(ledger_events(spark, sf_dir)).select("doc", F.col("price").cast("double").alias("price"), "owner")

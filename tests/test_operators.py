@@ -225,6 +225,19 @@ def test_listings_are_numbered(spark, rows):
         assert sorted((r.owner, r.place, r.doc) for r in ledger.listed(e, period).collect()) == want
 
 
+def test_ledger_is_appended(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    assert ledger.opened(spark, path).isEmpty()
+    row = lambda *x: spark.createDataFrame([x], "seq long, kind string, doc string, actor string, amount int").withColumn("amount", F.col("amount").cast("decimal(38,0)"))
+    ledger.append(row(1, "list", "d", "x", 5), path)
+    ledger.append(row(2, "buy", "d", "y", 6), path)
+    assert [(r.seq, r.kind, int(r.amount)) for r in ledger.opened(spark, path).orderBy("seq").collect()] == [(1, "list", 5), (2, "buy", 6)]
+    for bad in ((3, "gift", "d", "x", 1), (3, "buy", "d", "x", -1), (None, "buy", "d", "x", 1)):
+        with pytest.raises(ValueError):
+            ledger.append(row(*bad), path)
+    assert ledger.opened(spark, path).count() == 2
+
+
 def test_withdrawals(spark):
     rows = [(1, "a", "withdraw", 0), (2, "a", "credit", 5), (3, "a", "withdraw", 0), (4, "a", "withdraw", 0), (5, "a", "credit", 2), (6, "b", "credit", 4)]
     b = ledger.balances(spark.createDataFrame(rows, "seq long, owner string, kind string, amount long"))
