@@ -6,7 +6,7 @@
    salt is a leader, and every member is paired with the leaders (linear in the bucket; minima are combined before the shuffle).
 3. Verification. Signatures of a pair are compared batch by batch. After each batch the posterior of the similarity (uniform prior) bounds the
    probability that it reaches the threshold; below ``MISS`` the pair is dropped. Survivors are verified exactly on their full sets.
-4. Components of the links, by alternating large and small stars, checkpointed each round.
+4. Components of the links: few of them, counted first, in one task; more by alternating large and small stars, each round written.
 5. The rest. Where the non-leaders of a bucket are still in several components, links between them may be missing. Those outside the largest component of
    their bucket are a query set that is compared, in blocks and without emitting pairs, with all members of other components that they share buckets with, by
    signatures and then on full sets. Then components once more.
@@ -38,6 +38,8 @@ BATCH = 32
 MISS = 1e-6
 #: Ids or buckets (numbers) that are broadcast, counted first; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Links that are united in one task (about 100 bytes each there).
+TASK_EDGES = 500_000
 #: Shingles and members of a block that is compared in one task.
 BLOCK_TOKENS, BLOCK_ROWS = 1 << 18, 512
 U = np.uint64
@@ -204,11 +206,38 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges (a, b) of one task, by union and find."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root = x
+        while (y := parent.setdefault(root, root)) != root:
+            root = y
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    for at in range(0, len(nodes), 100_000):
+        part = nodes[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], names=["node", "component"])
+
+
 def components(links: DataFrame, limit: int = 50) -> DataFrame:
-    """(node, component) of the nodes in links(a, b): the smallest node that each can reach."""
+    """(node, component) of the nodes in links(a, b): the smallest node that each can reach.
+
+    Up to ``TASK_EDGES`` links, counted first, are united in one task; more go through rounds of alternating stars, each written.
+    """
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "dedup-edges")
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(edges)
+    if before[0] <= TASK_EDGES:
+        return written(edges.coalesce(1).mapInArrow(united, "node long, component long"), "dedup-components")
     for _ in range(limit):
         if not before[0]:
             break

@@ -240,6 +240,7 @@ def brute_components(rows, k, threshold=80):
 @pytest.mark.parametrize(("k", "ids", "tokens"), [(2, 10**6, 1 << 20), (5, 0, 1500)])  # the second joins by shuffles and compares in many blocks
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, ids, tokens):
     monkeypatch.setattr(dedup, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(dedup, "TASK_EDGES", ids)
     monkeypatch.setattr(dedup, "BLOCK_TOKENS", tokens)
     monkeypatch.setattr(dedup, "BLOCK_ROWS", 40)
     r = random.Random(k)
@@ -258,7 +259,9 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, ids, tokens):
     assert got == brute_components(rows, k)
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("edges", [0, 10**6])
+def test_components_of_a_long_chain(spark, monkeypatch, edges):
+    monkeypatch.setattr(dedup, "TASK_EDGES", edges)
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201)], "a long, b long")
     got = {r.node: r.component for r in dedup.components(links).collect()}
     assert got == {i: 0 for i in range(101)} | {200: 200, 201: 200}
