@@ -302,12 +302,12 @@ _ASOF = """(SELECT *, coalesce(last_value(CASE WHEN kind = 'list' THEN amount EN
 
 @query(f"SELECT owner, CAST(sum(amount) AS DOUBLE) AS earned, count(*) AS sales FROM {_ASOF} WHERE kind = 'buy' AND amount >= price GROUP BY owner")
 def ledger_earnings(spark, sf_dir):
-    return ledger.earned(ledger_events(spark, sf_dir, True), F.trunc("seq.l_shipdate", "month")).select("owner", F.col("earned").cast("double").alias("earned"), "sales")
+    return ledger.earned(ledger_events(spark, sf_dir, True), F.trunc("seq.l_shipdate", "quarter")).select("owner", F.col("earned").cast("double").alias("earned"), "sales")
 
 
 @query(f"""SELECT doc, count(*) AS purchases, count(*) FILTER (amount >= price) AS accepted, count(*) FILTER (owner IS NULL) AS unlisted FROM {_ASOF} WHERE kind = 'buy' GROUP BY doc""")
 def ledger_purchases(spark, sf_dir):
-    p = ledger.purchases(ledger_events(spark, sf_dir, True), F.trunc("seq.l_shipdate", "month"))
+    p = ledger.purchases(ledger_events(spark, sf_dir, True), F.trunc("seq.l_shipdate", "quarter"))
     return p.groupBy("doc").agg(F.count("*").alias("purchases"), F.count_if("accepted").alias("accepted"), F.count_if(F.col("owner").isNull()).alias("unlisted"))
 
 
@@ -326,7 +326,7 @@ def ledger_withdraw(spark, sf_dir):
 def ledger_my_docs(spark, sf_dir):
     seq = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
     e = table(spark, sf_dir, "lineitem").select(seq.alias("seq"), F.lit("list").alias("kind"), F.col("l_partkey").alias("doc"), F.col("l_suppkey").alias("actor"))
-    return ledger.listed(e, F.trunc("seq.l_shipdate", "month"))
+    return ledger.listed(e, F.trunc("seq.l_shipdate", "quarter"))
 
 
 @query(f"""SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN '0.5' ELSE coalesce(CAST(price AS VARCHAR), 'Error') END AS price_text FROM part LEFT JOIN

@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from carrel.functions import crypto, money, text, vector
+from carrel.functions.binding import let
+from carrel.functions.vector import HashingEmbedder
 from carrel.operators import uploads
+from carrel.session import scratch, spread
 
 
 def one(spark, **cols):
@@ -117,3 +120,32 @@ def test_tags_and_names(spark):
     t = F.array(lit("a"), lit("b"))
     r = one(spark, a=uploads.tags_added(t, lit("b")), b=uploads.tags_added(t, lit("c")), c=uploads.tag_removed(t, lit(0)), d=uploads.output_name(lit("x.csv")), e=uploads.output_name(lit("x.csv"), True), f=uploads.preview_name(lit("x.csv")))
     assert r == {"a": ["a", "b"], "b": ["a", "b", "c"], "c": ["b"], "d": "phi_anonymized_x.csv", "e": "anonymized_x.csv", "f": "preview_x.csv"}
+
+
+def test_bound_values_are_worked_out_once(spark):
+    d = spark.range(3).select(let(F.col("id") + 1, lambda x: F.struct((x * x).alias("a"), F.transform(F.array(F.lit(1), F.lit(2)), lambda y: x + y).alias("b"))).alias("r"), let(F.lit(None), lambda x: x.isNull()).alias("n"))
+    assert [(r.r.a, r.r.b, r.n) for r in d.collect()] == [(1, [2, 3], True), (4, [3, 4], True), (9, [4, 5], True)]
+    assert spark.range(1).select(let(F.rand(), lambda x: (x - x) == 0).alias("same")).first().same  # two draws would differ
+
+
+def test_small_scans_are_spread(spark, tmp_path):
+    at = str(tmp_path / "t")
+    spark.range(1000).coalesce(1).write.parquet(at)
+    one = spread(spark.read.parquet(at))
+    assert "RepartitionByExpression" in one._jdf.queryExecution().toString() or "Repartition" in one._jdf.queryExecution().toString()
+    assert one.agg(F.sum("id")).first()[0] == 499500
+    spark.range(1000).repartition(64).write.mode("overwrite").parquet(at)
+    assert "Repartition" not in spread(spark.read.parquet(at))._jdf.queryExecution().toString()
+
+
+def test_scratch_paths_are_below_the_shared_folder(spark):
+    a, b = scratch(spark, "x"), scratch(spark, "x")
+    assert a != b and a.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+
+
+@pytest.mark.parametrize("dim", [1, 64, 256, 300])
+def test_embedder_counts_words_by_bucket(spark, dim):
+    e = HashingEmbedder(dim)
+    texts = ["the cat, The CAT 12 é", "", None, "a " * 500]
+    got = [r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select(e.column(F.col("t")).alias("v")).collect()]
+    assert got == [e.vector(t or "") for t in texts]
