@@ -41,7 +41,9 @@ BROADCAST_IDS = 1_000_000
 #: Links that are united in one task (about 100 bytes each there).
 TASK_EDGES = 500_000
 #: Shingles and members of a block that is compared in one task.
-BLOCK_TOKENS, BLOCK_ROWS = 1 << 18, 512
+BLOCK_TOKENS, BLOCK_ROWS = 1 << 18, 256
+#: Tasks that the pairs of blocks are dealt to, at most.
+BLOCK_TASKS = 20_000
 U = np.uint64
 
 
@@ -342,7 +344,9 @@ def settled(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     rows = written(rows.withColumn("n", F.length("shingles") / 8), "dedup-rows")
     blocks = lambda n: F.greatest(F.ceil(F.coalesce(F.sum(n), F.lit(0)) / BLOCK_TOKENS), F.ceil(F.count(n) / BLOCK_ROWS)).cast("int")
     per = rows.groupBy("cluster").agg(blocks(F.col("n")).alias("d_blocks"), blocks(F.when(F.col("query"), F.col("n"))).alias("q_blocks"))
-    rows = beside(rows, written(per.filter("q_blocks > 0"), "dedup-clusters"), "cluster")
+    per = written(per.filter("q_blocks > 0"), "dedup-clusters")
+    tasks = per.agg(F.sum(F.col("d_blocks").cast("double") * F.col("q_blocks"))).first()[0] or 1
+    rows = beside(rows, per, "cluster")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = ["cluster", "id", "component", "shingles"]
@@ -355,8 +359,8 @@ def settled(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         links = compared([x for x in r if x["query"]], data, threshold) if data else []
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    # dealt by block: a frame that is dealt by cluster already would be taken as it is
-    dealt = q.unionByName(d).repartition("cluster", "qb", "db")
+    # dealt by pair of blocks, about two tasks for each: a frame that is dealt by cluster already would be taken as it is, and small tasks be joined
+    dealt = q.unionByName(d).repartition(int(min(BLOCK_TASKS, 2 * tasks)), "cluster", "qb", "db")
     return dealt.groupBy("cluster", "qb", "db").applyInArrow(task, "a long, b long")
 
 
