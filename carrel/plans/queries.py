@@ -391,7 +391,7 @@ SELECT doc_id, CAST(len(list_filter(w, lambda x: list_contains(names, x))) AS IN
 def ocr_word_mask(spark, sf_dir):
     """Words of ten letters and more play the entities."""
     w = F.split("text", " ")
-    d = table(spark, sf_dir, "documents").select(
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.transform(w, lambda x, i: F.struct(x.alias("text"), i.alias("left"), F.lit(0).alias("top"), F.length(x).alias("width"), F.lit(1).alias("height"))).alias("words"),
         F.transform(w, lambda x: F.struct(x.alias("text"), F.when(F.length(x) >= 10, "PERSON").otherwise("CARDINAL").alias("label"))).alias("entities"),
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -288,6 +289,34 @@ def test_ocr_boxes(spark):
     assert [x.text.strip() for x in r.b] == ["Ann", "Rome"] and [x.text.strip() for x in r.s] == ["Ann", "Bob", "Lee", "Rome"] and r.t.startswith("Ann met")
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 7, 8, 9, 100])
+def test_boxes_agree_with_sets(spark, n):
+    word, entity = "array<struct<text:string,left:int,top:int,width:int,height:int>>", "array<struct<text:string,label:string>>"
+    letters = ["a", "B", "é", "ß", "z", "\uffff", "\U0001f600", "0"]
+    some = [a + b + c for a in letters for b in letters for c in ("", " ", "x")]
+    r = np.random.default_rng(n)
+    names = [(some[i], "PERSON" if i % 3 else "CARDINAL") for i in r.integers(0, len(some), n)]
+    words = [*some, *some[:9], "", " ", None]
+    rows = [(1, words, names), (2, words, [*names, (None, "ORG"), ("", "GPE")]), (3, words, None), (4, None, names), (5, [], names)]
+    d = spark.createDataFrame([(k, w and [(t, i, 0, 9, 5) for i, t in enumerate(w)], e) for k, w, e in rows], f"k int, w {word}, e {entity}")
+    for rule, d in ((image.boxes, d), (image.strict_boxes, d.filter("k <> 2"))):
+        got = {x.k: x.b and [y.left for y in x.b] for x in d.select("k", rule(F.col("w"), F.col("e")).alias("b")).collect()}
+        assert len(got) == len(rows) - (rule is image.strict_boxes)
+        for k, w, e in [x for x in rows if x[0] in got]:
+            covered = {t.strip(" ") for t, label in e or [] if t is not None and label != "CARDINAL"}
+            assert got[k] == (None if w is None else [i for i, t in enumerate(w) if t and t.strip(" ") and t.strip(" ") in covered])
+
+
+@pytest.mark.parametrize("rule", [image.boxes, image.strict_boxes])
+def test_boxes_of_a_long_text(spark, rule):
+    """30,000 different words that are all entities: the set of entities is not made, or read through, again for each word."""
+    d = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.sha1(i.cast("string"))).alias("t"))
+    d = d.select(F.transform("t", lambda x: F.struct(x.alias("text"))).alias("w"), F.transform("t", lambda x: F.struct(x.alias("text"), F.lit("PERSON").alias("label"))).alias("e"))
+    begun = time.monotonic()
+    assert d.select(F.size(rule(F.col("w"), F.col("e")))).first()[0] == 30_000
+    assert time.monotonic() - begun < 20
+
+
 def test_image_redactor_is_plugged_in(spark, tmp_path):
     class Black:
         def redact(self, content):
